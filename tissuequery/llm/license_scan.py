@@ -3,8 +3,8 @@
 Every rolling k-gram of a document's words is hashed and joined to the positions of the k-grams of known license
 wordings (a fixed table of some hundred rows, broadcast). A match is a point; points of one wording at one offset
 (document position less template position) lie on a diagonal. Votes are counted by diagonal, neighbouring diagonals
-(insertions, deletions) are merged, and a span is verified: its k-grams must equal the template's word by word, and the
-distinct template positions that it covers must reach COVERAGE of the wording.
+(insertions, deletions) are merged, and a span is verified: the
+distinct template positions that it covers, by runs of K equal words, must reach COVERAGE of the wording.
 
 The base labels are phrases whose words stand consecutively.
 
@@ -15,16 +15,21 @@ Other columns, of any name, are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import bound_batches, by_value, process_cache, read
+from .minhash import WordHash, mix64
+
+by_value(__name__)
 
 K = 3
 COVERAGE = 0.7
 #: Diagonals this far apart, or nearer, are one alignment.
 DRIFT = 3
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 PHRASES = {
@@ -48,36 +53,86 @@ TEMPLATES = {
 }
 
 
-def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0))
+#: Bytes that are no part of a word become blanks; what is left between blanks are the words.
+_BLANK = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
-def template_grams(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
-    rows = [(label, i, " ".join(w[i : i + k]), max(1, len(w) - k + 1)) for label, t in templates.items() for w in [t.split()] for i in range(max(1, len(w) - k + 1))]
-    return spark.createDataFrame(rows, "_label string, _tpos int, _gram string, _grams int").withColumn("_h", F.xxhash64("_gram"))
+def words_of(text: bytes | None) -> list[bytes]:
+    """A-Z in lower case, then the runs of letters, digits and non-ASCII characters."""
+    return (text or b"").lower().translate(_BLANK).split()
 
 
-def _places(words: Column, joined: Column, phrase: str) -> Column:
-    """Where the phrase's words start; only texts that hold them at all are searched word by word."""
-    own = phrase.split()
-    here = F.filter(F.sequence(F.lit(0), F.size(words) - len(own)), lambda i: _all([F.get(words, i + j) == w for j, w in enumerate(own)]))
-    return F.when(F.contains(joined, F.lit(f" {phrase} ")), here).otherwise(F.array().cast("array<int>"))
+def grams(words: list[bytes], k: int) -> np.ndarray:
+    """Hashes of the rolling runs of k words."""
+    if len(words) < k:
+        return np.empty(0, np.int64)
+    cache = process_cache().setdefault("words", WordHash())
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - k + 1 + i])
+    return out.view(np.int64)
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
+def template_grams(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
+    """A row for each template position: bounded by the wordings, not by the data."""
+    rows = [(label, i, int(h), len(own)) for label, t in templates.items() for own in [grams(words_of(t.encode()), k)] for i, h in enumerate(own)]
+    return spark.createDataFrame(rows, "_label string, _tpos int, _h long, _grams int")
+
+
+def _places(words: list[bytes], joined: bytes, phrase: bytes) -> list[int]:
+    """Where the phrase's words start: found in the joined words, placed by the blanks before."""
+    out, at, blanks, counted = [], joined.find(phrase), 0, 0
+    while at >= 0:
+        blanks += joined.count(b" ", counted, at)
+        counted = at
+        out.append(blanks)
+        at = joined.find(phrase, at + 1)
     return out
 
 
-def hits(worded: DataFrame, templates: DataFrame, k: int) -> DataFrame:
-    """Points: the document's key, the label, template position and place of every k-gram that a template has."""
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("_w", i + j) for j in range(k)))))
-    rolled = worded.where(F.size("_w") >= k).select("_id", "_key", "_w", F.posexplode(grams).alias("_pos", "_h"))
-    rolled = rolled.select("_id", "_key", "_pos", "_h", F.slice("_w", F.col("_pos") + 1, k).alias("_own"))
-    return rolled.join(F.broadcast(templates), "_h").where(F.concat_ws(" ", "_own") == F.col("_gram")).select("_id", "_key", "_label", "_tpos", "_pos", "_grams")
+def _texts(batch: pa.RecordBatch, step: int = 128):
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        yield part.column("id"), [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _key(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def facts(narrow: DataFrame) -> DataFrame:
+    """_id, _key (hash of the text), n_words, and the base phrases' places and labels."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in _texts(batch):
+                n, places, labels = [], [], []
+                for t in texts:
+                    words = words_of(t)
+                    joined = b" " + b" ".join(words) + b" "
+                    n.append(len(words))
+                    found = {v: _places(words, joined, b" " + p.encode() + b" ") for p, v in PHRASES.items()}
+                    places.append(sorted(x for own in found.values() for x in own))
+                    labels.append(sorted(v for v, own in found.items() if own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(_key, texts), pa.int64()), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.string()))], names=["_id", "_key", "n_words", "_all", "_base"])
+
+    return narrow.mapInArrow(run, f"_id {narrow.schema['id'].dataType.simpleString()}, _key long, n_words long, _all array<long>, _base array<string>")
+
+
+def hits(narrow: DataFrame, templates: DataFrame, k: int) -> DataFrame:
+    """Points: the text's key, the label, template position and place of every k-gram that a template has. All rolling
+    hashes of all texts go through the join; only the matches are shuffled later."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in _texts(batch):
+                rolled = [grams(words_of(t), k) for t in texts]
+                offsets = pa.array(np.cumsum([0, *map(len, rolled)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(_key, texts), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rolled)))], names=["_id", "_key", "_rolled"])
+
+    rolled = narrow.mapInArrow(run, f"_id {narrow.schema['id'].dataType.simpleString()}, _key long, _rolled array<long>")
+    return rolled.select("_id", "_key", F.posexplode("_rolled").alias("_pos", "_h")).join(F.broadcast(templates), "_h").select("_id", "_key", "_label", "_tpos", "_pos", "_grams")
 
 
 def spans(points: DataFrame, coverage: float) -> DataFrame:
@@ -93,14 +148,11 @@ def spans(points: DataFrame, coverage: float) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, k: int = K, coverage: float = COVERAGE) -> DataFrame:
     """Per row of docs: its id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans."""
     spark = docs.sparkSession
-    worded = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), words_of(F.col(text_col)).alias("_w"))
-    found = spans(hits(worded, template_grams(spark, templates or TEMPLATES, k), k), coverage)
+    bound_batches(spark)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = spans(hits(narrow, template_grams(spark, templates or TEMPLATES, k), k), coverage)
     found = found.groupBy("_id", "_key").agg(F.collect_set("_label").alias("_found"), F.max("coverage").alias("_cover"), F.count("*").alias("n_spans")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_found", "_cover", "n_spans")
-    based = worded.withColumn("_joined", F.concat(F.lit(" "), F.concat_ws(" ", "_w"), F.lit(" ")))
-    based = based.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), *(_places(F.col("_w"), F.col("_joined"), p).alias(f"_p{i}") for i, p in enumerate(PHRASES)))
-    everywhere = F.concat(*(F.col(f"_p{i}") for i in range(len(PHRASES))))
-    labels = F.filter(F.array(*(F.when(F.size(f"_p{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values()))), lambda x: x.isNotNull())
-    based = based.select("_id", "_key", "n_words", everywhere.alias("_all"), labels.alias("_base"))
+    based = facts(narrow)
     out = based.join(found, based["_id"].eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
     own = F.coalesce("_found", F.array().cast("array<string>"))
     return out.select(
