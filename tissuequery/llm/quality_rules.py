@@ -67,17 +67,14 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     """counts: _host, _hnul, host_docs, host_failures. Adds host_rate, shrunk by the beta prior, and host_ok.
 
     Moments over hosts weighted by documents: m the pooled rate, v the weighted variance of the rates less what
-    binomial noise alone makes; strength a + b = m (1 - m) / v - 1, held within [PRIOR_MIN, PRIOR_MAX]. One aggregate
-    row (the prior) is joined to the hosts."""
+    binomial noise alone makes; strength a + b = m (1 - m) / v - 1, held within [PRIOR_MIN, PRIOR_MAX]."""
     rate = F.col("host_failures") / F.col("host_docs")
-    pooled = counts.agg(F.sum("host_docs").alias("_nd"), F.sum("host_failures").alias("_nf"), F.count("*").alias("_nh"), F.sum(rate * F.col("host_failures")).alias("_q"))
-    m = F.col("_nf") / F.col("_nd")
-    noise = m * (1 - m) * F.col("_nh") / F.col("_nd")
-    v = F.col("_q") / F.col("_nd") - m * m - noise
-    strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(PRIOR_MIN)), F.lit(PRIOR_MAX))).otherwise(F.lit(PRIOR_MAX))
-    prior = pooled.select(m.alias("_m"), strength.alias("_k"))
-    shrunk = (F.col("host_failures") + F.col("_m") * F.col("_k")) / (F.col("host_docs") + F.col("_k"))
-    return counts.join(F.broadcast(prior)).select("_host", "_hnul", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk < max_rate).alias("host_ok"))
+    docs, failures, hosts, squares = counts.agg(F.sum("host_docs"), F.sum("host_failures"), F.count("*"), F.sum(rate * F.col("host_failures"))).first()
+    m = failures / docs if docs else 0.0
+    v = squares / docs - m * m - m * (1 - m) * hosts / docs if docs else 0.0
+    k = min(max(m * (1 - m) / v - 1, PRIOR_MIN), PRIOR_MAX) if v > 0 else PRIOR_MAX
+    shrunk = (F.col("host_failures") + F.lit(m * k)) / (F.col("host_docs") + F.lit(k))
+    return counts.select("_host", "_hnul", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk < max_rate).alias("host_ok"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE, carry: bool = False) -> DataFrame:
@@ -85,8 +82,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     figures and kept. The counts are worked out once and written; host table and result both read them."""
     keep = [(F.struct(*docs.columns) if carry else F.col(id_col)).alias("_row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(host_col).isNull().cast("int").alias("_hnul")]
     facts = spool(features(docs, F.col(text_col), keep), "facts")
-    counts = facts.groupBy("_host", "_hnul").agg(F.count("*").alias("host_docs"), F.sum(rule_failed().cast("long")).alias("host_failures"))
-    verdicts = small_side(spool(host_verdicts(counts, max_rate), "hosts"))
+    counts = spool(facts.groupBy("_host", "_hnul").agg(F.count("*").alias("host_docs"), F.sum(rule_failed().cast("long")).alias("host_failures")), "hosts")
+    verdicts = host_verdicts(small_side(counts), max_rate)
     return facts.join(verdicts, ["_host", "_hnul"]).select(
         "_row", F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_sym").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
         F.col("_rep").alias("n_repeat_words"), base_failed().alias("base_failed"), (~base_failed() & F.col("host_ok")).alias("kept"), "host_docs", "host_failures", "host_rate",
