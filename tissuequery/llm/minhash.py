@@ -5,9 +5,10 @@ places; signature coordinate k is the minimum of a second permutation pi at sigm
 shifted round the circle, give all coordinates. Bands of ROWS coordinates are bucket keys.
 
 Links are confirmed on the full sets, without all pairs of a bucket: copies (equal word sequences) are one class from
-the start; then every class in a bucket is held against the bucket's smallest id; then only classes of different
-components in a bucket are held against each other, those outside a bucket's largest component against the others.
-Pairs of one component need no look, since the result is the components. At similarity 0.75 all bands miss a pair with
+the start; then every class in a bucket is held against the bucket's pivot, its most central class; then only classes
+of different components that meet in a bucket are held against each other, and of these only the pairs that what they
+share with a common set leaves possible (see left_over). Pairs of one component need no look, since the result is the
+components. At similarity 0.75 all bands miss a pair with
 probability 2e-5.
 
 Defined results: a null or wordless text has no shingles and links with nothing; rows with a null id take no part and
@@ -33,6 +34,8 @@ SHINGLE, BANDS, ROWS = 5, 40, 5
 PERCENT = 75
 #: Candidate ids up to this many are broadcast against the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Texts of a component from which its common set is taken; the results do not depend on it.
+CORE = 64
 WORD_CACHE = 500_000
 
 
@@ -138,8 +141,58 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     """The pairs (a, b) whose sets are similar enough: joins by id and an intersection in the JVM."""
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("_a"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).alias("_sum")).where(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("_a") + F.size("_b")).alias("n"), F.size(F.array_intersect("_a", "_b")).alias("both"))
+    return joined.where((100 + percent) * F.col("both") >= percent * F.col("n")).select("a", "b")
+
+
+def beside(shared: DataFrame, so_far: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that share a bucket with another component (a, ca: its component) with the components that are
+    largest in these buckets (head); any two texts of different components in one bucket meet under one head. And some
+    texts of every head (head, id, n: how many), CORE at about and at least one, to find what its texts have in common."""
+    named = shared.join(so_far, "id", "left").select("key", "id", "company", F.coalesce("component", "id").alias("component"))
+    named = spool(named, "named")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("many"))
+    heads = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("many", "component")).alias("head")).where("parts > 1").select("key", F.col("head.component").alias("head"))
+    under = spool(named.join(heads, "key").select(F.col("id").alias("a"), F.col("component").alias("ca"), "head").distinct(), "under")
+    members = named.select(F.col("component").alias("head"), "id", "company").distinct()
+    whole = members.join(under.select("head").distinct(), "head", "left_semi").groupBy("head").agg(F.count("*").alias("many"), F.max(F.struct("company", "id")).alias("c"))
+    chance = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / CORE)) == 0
+    core = members.join(whole, "head").where(chance | (F.col("id") == F.col("c.id"))).select("head", "id")
+    return under, core
+
+
+def common_sets(core: DataFrame, sets: DataFrame) -> DataFrame:
+    """head and what more than half of its core's texts have."""
+    core = spool(core, "core")
+    n = core.groupBy("head").agg(F.count("*").alias("n"))
+    each = core.join(sets, "id").select("head", F.explode("members").alias("x")).groupBy("head", "x").agg(F.count("*").alias("k"))
+    return each.join(n, "head").where("2 * k > n").groupBy("head").agg(F.collect_list("x").alias("_b"))
+
+
+def left_over(under: DataFrame, core: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet under a head and may be similar, without all pairs of a head's texts.
+
+    P is the head's common set (any set would do; this one leaves least). Write A(u) for what text u has and P lacks.
+    What u and m share is at most the smaller of their shares with P, plus what A(u) and A(m) share; and similar sets
+    share percent of either. So either A(u) and A(m) share something (at least t(u) = percent of u less u's share with
+    P), and then they do so among their first |A| - t + 1 places in sorted order; or the shares with P alone must do,
+    which holds for few sizes of m. Both are equi-joins."""
+    common = spool(common_sets(core, sets), "common")
+    joined = under.join(sets.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a").join(common, "head", "left").withColumn("_b", F.coalesce("_b", F.array().cast("array<long>")))
+    joined = joined.select("a", "ca", "head", F.size("_a").alias("na"), F.size(F.array_intersect("_a", "_b")).alias("both"), F.sort_array(F.array_except("_a", "_b")).alias("own"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("na") * percent / 100) - F.col("both"))
+    group = joined.select("a", "ca", "head", "na", "both", F.slice("own", 1, F.greatest(F.size("own") - needed + 1, F.lit(0)).cast("int")).alias("extra"))
+    group = spool(group, "group")
+    rest = group.where("ca != head")
+    theirs = group.select("head", F.col("a").alias("m"), F.col("na").alias("nm"), F.col("both").alias("bm"), F.col("ca").alias("cm"), F.col("extra").alias("extra_m"))
+    mine = rest.select("head", F.col("a").alias("u"), F.col("na").alias("nu"), F.col("both").alias("bu"), F.col("ca").alias("cu"), "extra")
+    apart = (F.col("cu") != F.col("cm")) & _near_size("nu", "nm", percent) & ((F.col("cm") == F.col("head")) | (F.col("u") < F.col("m")))
+    shared = mine.select("head", "u", "nu", "cu", F.explode("extra").alias("x")).join(theirs.select("head", "m", "nm", "cm", F.explode("extra_m").alias("x")), ["head", "x"]).where(apart).select("u", "m")
+    low = F.ceil(F.col("nu") * percent / 100).cast("int")
+    high = F.least(F.floor((100 + percent) * F.col("bu") / percent) - F.col("nu"), F.floor(F.col("nu") * 100 / percent)).cast("int")
+    sized = mine.where(low <= high).select("head", "u", "nu", "cu", F.explode(F.sequence(low, high)).alias("nm"))
+    alone = sized.join(theirs.select("head", "m", "nm", "cm", "bm"), ["head", "nm"]).where(apart & ((100 + percent) * F.col("bm") >= percent * (F.col("nu") + F.col("nm")))).select("u", "m")
+    return shared.union(alone).select(F.greatest("u", "m").alias("a"), F.least("u", "m").alias("b")).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -177,24 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = spool(some.groupBy("cls").agg(F.min("id").alias("id")), "classes")
     reps = some.join(classes, ["cls", "id"], "left_semi").dropDuplicates(["cls", "id"])
     members = spool(reps.select("id", "n", F.explode("keys").alias("key")), "members")
-    buckets = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
+    buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = spool(members.join(buckets, "key"), "shared")  # what has company in some bucket
-    first = shared.select(F.col("id").alias("a"), F.col("pivot.id").alias("b"), F.col("n").alias("na"), F.col("pivot.n").alias("nb")).where((F.col("a") != F.col("b")) & _near_size("na", "nb", percent))
-    first = spool(first.select("a", "b").distinct(), "first")
+    # a bucket's pivot is its most central text, that which has most company in all its buckets: an edited copy is
+    # nearer to it than to another edited copy
+    rank = shared.groupBy("id").agg(F.sum("many").alias("company"))
+    shared = spool(shared.drop("many").join(rank, "id"), "ranked")
+    pivots = shared.groupBy("key").agg(F.max(F.struct("company", "id", "n")).alias("pivot"))
+    first = shared.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).where("a != b").distinct()
     ids = spool(shared.select("id").distinct(), "ids")
     sets = spool(full_sets(docs, ids, id_col, text_col).groupBy("id").agg(F.min(F.struct("head", "members")).alias("s")).select("id", "s.members"), "sets")
     links = spool(confirm(first, sets, percent), "links")
     so_far = components(links)
-
-    named = spool(shared.select("key", "id", "n").join(so_far, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "named")
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("many"))
-    heads = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("many", "component")).alias("head")).where("parts > 1").select("key", F.col("head.component").alias("head"))
-    mixed = spool(named.join(heads, "key"), "mixed")
-    rest = mixed.where("component != head").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    other = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "head")
-    second = rest.join(other, "key").where((F.col("ca") != F.col("cb")) & _near_size("na", "nb", percent) & ((F.col("cb") == F.col("head")) | (F.col("a") < F.col("b"))))
-    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = spool(confirm(second, sets, percent), "more")
+    more = spool(confirm(spool(left_over(*beside(shared, so_far), sets, percent), "second"), sets, percent), "more")
     whole = components(links.union(more)) if more.count() else so_far
     whole = spool(whole, "components")
 
