@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
