@@ -1,0 +1,422 @@
+"""The training-data operators against brute force, on the smallest tables and on a table of edge cases."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tissuequery.llm import ann, bpe, language_model, license_scan, minhash, mixing, quality_classifier, quality_rules, registry, sharding, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql(spark, sf_dir, name):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), c.execute(registry.SQL[name]).fetchdf()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    pd.testing.assert_frame_equal(got[cols].sort_values("doc_id", ignore_index=True), want[cols].sort_values("doc_id", ignore_index=True), check_dtype=False)
+
+
+# 1
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, target, open_ = float(sum(sizes.values())), {}, set(order)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > 3 * sizes[s]]
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+        left -= sum(target[s] for s in over)
+        open_ -= set(over)
+    return target
+
+
+def test_mixing_targets_and_budgets(documents):
+    rows = collected(mixing.mix_sources(documents).join(documents.select("doc_id", "source", "text"), "doc_id"))
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for r in rows:
+        assert r["size"] == len(words(r["text"])) and r["taken"] == r["size"] * r["copies"] and r["copies"] <= 3
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    target = brute_targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6
+        epochs = [r["copies"] for r in rows if r["source"] == s and r["size"]]
+        assert max(epochs) - min(epochs) <= 1  # complete epochs first
+
+
+def test_mixing_edges(spark, edge, empty):
+    rows = collected(mixing.mix_sources(edge))
+    assert len(rows) == edge.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert mixing.mix_sources(empty).count() == 0
+    mixed = mixing.mixed_documents(edge)
+    assert mixed.columns == edge.columns and mixed.count() == sum(r["copies"] for r in rows)
+    skew = spark.createDataFrame([(i, "a b c", None, "big" if i else "small", 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix_sources(skew).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 1.5 for r in got)
+
+
+# 2
+
+
+def brute_rules(text):
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    grams = defaultdict(list)
+    for i in range(len(w) - 2):
+        grams[tuple(w[i : i + 3])].append(i)
+    covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
+
+
+def test_rules_edges(spark, edge, empty):
+    extra = ["a a a a", "x y z x y z", "a b a b a", "a b", "a a a"]
+    more = spark.createDataFrame([(100 + i, t, "en", "a", 1) for i, t in enumerate(extra)], "doc_id long, text string, lang string, source string, n_chars long")
+    own = edge.select(*more.columns).union(more)
+    got = quality_rules.judge(own, carry=True).select("_row.text", "*").collect()
+    assert len(got) == own.count()
+    for r in got:
+        want = brute_rules(r["text"])
+        assert {k: r[k] for k in want} == want
+        assert r["base_failed"] == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+    assert quality_rules.judge(empty).count() == 0
+    assert quality_rules.kept_documents(edge).columns == edge.columns
+
+
+def test_bad_host_is_rejected(spark):
+    good = " ".join(f"plain{i}" for i in range(80))
+    bad = " ".join(f"##{i}##" for i in range(80))
+    rows = [(h * 1000 + i, bad if h == 0 and i % 20 else good, "en", f"host{h}", 1) for h in range(12) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality_rules.judge(docs).groupBy((F.col("_row") < 1000).alias("bad")).agg(F.max(F.col("kept").cast("int")).alias("some"), F.min(F.col("kept").cast("int")).alias("all")).collect()
+    assert {r["bad"]: (r["some"], r["all"]) for r in got} == {True: (0, 0), False: (1, 1)}
+
+
+# 3
+
+
+def test_language_model(documents, texts):
+    rows = {r["doc_id"]: r for r in collected(language_model.score_texts(documents))}
+    tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
+    counts = Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(w)
+    n, v = sum(counts.values()), len(counts)
+    held, base = 0.0, 0.0
+    for i, w in tokens.items():
+        r = rows[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and r["train_tokens"] == n
+        assert r["n_tokens"] == len(w) and r["n_known"] == sum(counts[x] > 0 for x in w)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+        if r["held_out"]:
+            held, base = held + r["score"], base + r["base_score"]
+    assert held > base  # better than the unigram model on texts that it hasn't seen
+
+
+def test_language_model_is_normalised(documents, monkeypatch):
+    """Probabilities of all classes in a context add up to 1, and within a class over its words and one unknown."""
+    learn = documents.select(F.col("doc_id").alias("id"), "text").where(language_model.fold(F.col("id")) != 2).select("text")
+    v, others = language_model.vocabulary(language_model.word_counts(learn))
+    assert others.count() == 0
+    one, two, norm = language_model.tables(v, language_model.start_weights(v))
+    for a, b in ((0, 5), (v.classes, 3), (v.classes, v.classes), (1500, 7)):
+        assert np.exp((one[b].astype(float) + two[a] - norm[a, b])).sum() == pytest.approx(1, abs=1e-3)
+    inside = Counter()
+    for w, c, log in zip(v.words, v.cls.tolist(), v.log.tolist()):
+        if c >= language_model.OWN_CLASS:
+            inside[c] += 10**log
+    for c, total in inside.items():
+        assert (total + 1) / 10 ** v.mass[c - language_model.OWN_CLASS] == pytest.approx(1)
+
+
+def test_language_model_rare_words_go_through_the_join(documents, monkeypatch):
+    whole = {r["doc_id"]: r for r in collected(language_model.score_texts(documents.limit(60)))}
+    monkeypatch.setattr(language_model, "DICTIONARY", 40)
+    small = {r["doc_id"]: r for r in collected(language_model.score_texts(documents.limit(60)))}
+    for i, r in whole.items():
+        assert small[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9) and small[i]["n_known"] == r["n_known"]
+
+
+def test_language_model_edges(edge, empty):
+    rows = collected(language_model.score_texts(edge))
+    assert len(rows) == edge.count() and all(math.isfinite(r["score"]) for r in rows)
+    assert language_model.score_texts(empty).count() == 0
+
+
+# 4
+
+
+def check_shards(rows, docs):
+    shards, at = Counter(), defaultdict(list)
+    for r in rows:
+        shards[r["shard"]] += r["size"]
+        at[r["shard"]].append(r["slot"])
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24
+    assert all(sorted(s) == list(range(len(s))) for s in at.values())
+    if rows:
+        even, most = sum(shards.values()) / 24, max(r["size"] for r in rows)
+        assert all(abs(shards[s] - even) <= most + 1 for s in range(24))
+
+
+def test_sharding(spark, documents, texts, edge, empty):
+    rows = collected(sharding.shard(documents))
+    check_shards(rows, documents)
+    for r in rows:
+        t = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(t) + 8 and r["text_crc32"] == zlib.crc32(t)
+    assert len(rows) == len(texts)
+    got = collected(sharding.shard(edge))
+    assert len(got) == edge.count()
+    check_shards(got, edge)
+    assert sharding.shard(empty).count() == 0
+    hot = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string")
+    check_shards(collected(sharding.shard(hot)), hot)
+
+
+# 5
+
+
+def test_ann_recall(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = defaultdict(list)
+    for r in collected(ann.search(table)):
+        rows[r["query_id"]].append(r)
+    e = table.toPandas()
+    x = np.stack(e["embedding"]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in e["vec_id"][e["vec_id"] % 50 == 0]:
+        s = x @ x[e["vec_id"] == q][0]
+        best = [i for i in np.lexsort((e["vec_id"], -s)) if e["vec_id"][i] != q][:5]
+        got = sorted(rows[q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+        assert all(r["score"] == pytest.approx(s[e["vec_id"] == r["vec_id"]][0], abs=1e-12) for r in got)
+        hit += len({e["vec_id"][i] for i in best} & {r["vec_id"] for r in got})
+        total += 5
+    assert hit / total >= 0.9
+
+
+def test_ann_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, [-1.0, 0.0]), (50, [0.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", F.lit(1)).withColumn("id", F.lit("x"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in collected(ann.search(table))}
+    assert [got[0, k] for k in range(1, 5)] == [1, 2, 50, 9] and (0, 5) not in got
+    assert ann.search(table.limit(0)).count() == 0
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in collected(ann.search(copies))}
+    assert [got[50, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and len(got) == 40
+
+
+# 6
+
+
+def test_token_counts(spark, documents, texts, edge, empty):
+    model = bpe.encoder(open(bpe.default_file(), encoding="utf-8").read())
+    rows = collected(token_counts.count_tokens(documents))
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: sum(c[1] for c in model.plain(t or "")) for i, t in texts.items()}
+    assert token_counts.count_tokens(edge).count() == edge.count()
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_scan_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    files, want = [], []
+    for f in range(4):
+        flat = np.where(rng.random(3000) < (0.0, 0.001, 0.02, 0.5)[f], 9, 1).astype("<u2")
+        ends = np.flatnonzero(flat == 9)
+        starts = np.concatenate([[0], ends + 1])
+        want += [(f, k, int(a), int(b - a), True) for k, (a, b) in enumerate(zip(starts, ends))]
+        if starts[-1] < len(flat):
+            want.append((f, len(ends), int(starts[-1]), int(len(flat) - starts[-1]), False))
+        files += [(f, k, flat[k * 64 : (k + 1) * 64].tobytes()) for k in range(-(-len(flat) // 64))]
+    blocks = spark.createDataFrame(files, "file long, at long, data binary")
+    got = sorted((r["file"], r["ordinal"], r["first_token"], r["n_tokens"], r["finished"]) for r in collected(token_counts.scan(blocks, 9)))
+    assert got == sorted(want)
+
+
+# 7
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    up = {i: i for i in texts}
+
+    def top(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    for i, s in sets.items():
+        both = Counter(j for x in s for j in where[x] if j > i)
+        for j, n in both.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in texts}
+
+
+def test_near_duplicates(documents, texts):
+    rows = collected(minhash.near_duplicates(documents))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+
+
+def test_near_duplicates_hot_group(spark):
+    """A large group of edited copies, a second one near it, exact copies and a common passage."""
+    rng = np.random.default_rng(4)
+    texts, passage = {}, " ".join(f"p{i}" for i in range(60))
+    for g in range(2):
+        base = [f"b{i if i < 90 or not g else i + 1000}" for i in range(150)]
+        for _ in range(160):
+            w = list(base)
+            for at in rng.choice(150, rng.integers(0, 8), replace=False):
+                w[at] = rng.choice(["the", f"e{at}", f"x{rng.integers(50)}"])
+            texts[len(texts)] = " ".join(w)
+    for k in range(120):
+        texts[len(texts)] = passage + " " + " ".join(f"r{k}_{i}" for i in range(rng.integers(5, 120)))
+    for _ in range(80):
+        texts[len(texts)] = "same words again and again here"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(minhash.near_duplicates(docs))}
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_edges(spark, edge, empty):
+    rows = collected(minhash.near_duplicates(edge))
+    assert len(rows) == edge.count()
+    by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert by[1]["component_id"] == by[2]["component_id"] == by[9]["component_id"] == by[3]["component_id"] == 1
+    assert by[4] == {"doc_id": 4, "n_shingles": 0, "component_id": 4, "kept": True} and by[5]["kept"] and by[8]["n_shingles"] == 0
+    assert all(r["component_id"] is None and r["kept"] for r in rows if r["doc_id"] is None)
+    one = minhash.deduplicated(edge)
+    assert one.columns == edge.columns and sorted(r["doc_id"] for r in one.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 6, 7, 8, 10, 11, 12]
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+# 8
+
+
+def test_classifier(spark, sf_dir, documents, edge, empty):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = collected(quality_classifier.classify(documents, labels))
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    unseen = [r for r in rows if r["held_out"] and r["doc_id"] in known]
+    assert np.mean([r["predicted"] == known[r["doc_id"]] for r in unseen]) >= 0.85
+    got = collected(quality_classifier.classify(edge, labels))
+    assert len(got) == edge.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_classifier.classify(empty, labels).count() == 0
+    assert {r["score"] for r in collected(quality_classifier.classify(edge, labels.limit(0)))} == {0.5}
+    kept = quality_classifier.accepted_documents(edge, labels)
+    assert kept.columns == edge.columns
+
+
+def test_votes_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.random((40, quality_classifier.WIDTH)).astype(np.float32) * (rng.random((40, quality_classifier.WIDTH)) < 0.02)
+    idf, projection = quality_classifier.latent_space(x, 8)
+    z = (x * idf) / np.linalg.norm(x * idf, axis=1, keepdims=True) @ projection
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = (np.arange(40) % 3 > 0).astype(np.float32)
+    model = {"idf": idf, "projection": projection, "vectors": z, "labels": y, "weights": np.ones(40, np.float32), "prior": 0.5}
+    got = quality_classifier.vote(x, model, 5)
+    for i in range(40):
+        s = z @ z[i]
+        at = np.argsort(-s)[:5]
+        w = np.maximum(s[at], 0).astype(float) ** 4
+        assert got[i] == pytest.approx((w * y[at]).sum() / w.sum(), abs=1e-4)
+
+
+# 9
+
+
+def test_licenses(spark, documents, texts, edge, empty):
+    rows = collected(license_scan.scan_licenses(documents)) + [r | {"edge": 1} for r in collected(license_scan.scan_licenses(edge))]
+    by_id = defaultdict(list)
+    for r in edge.select("doc_id", "text").collect():
+        by_id[r["doc_id"]].append(r["text"])
+    assert len(rows) == len(texts) + edge.count()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in rows:
+        candidates = by_id[r["doc_id"]] if "edge" in r else [texts[r["doc_id"]]]
+        wants = []
+        for t in candidates:
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+            at = {v: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p, v in license_scan.PHRASES.items()}
+            flat = sorted(x for own in at.values() for x in own)
+            wants.append((len(w), len(flat), flat[0] if flat else None, flat[-1] if flat else None, ",".join(sorted(v for v, own in at.items() if own))))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) in wants
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_spans_survive_edits(spark):
+    text = "x y " + license_scan.TEMPLATES["bsd-grant"].replace("binary forms", "some binary forms").replace("permitted ", "") + " z"
+    docs = spark.createDataFrame([(1, text), (2, "redistribution and use of nothing"), (2, text), (2, text)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["labels"]) for r in collected(license_scan.scan_licenses(docs, coverage=0.6)))
+    assert got == [(1, "bsd-grant"), (2, ""), (2, "bsd-grant"), (2, "bsd-grant")]
+
+
+# 10
+
+
+def library(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = []
+    for x in texts:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        out.append((len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return out
+
+
+def test_bpe_equals_the_library(spark, documents, edge, empty):
+    rng = np.random.default_rng(6)
+    alphabet = list("aAbeEinthIT's'reLL 0123٣²½ßẞİıΣσςé́ﬁ中か\t\n\x1c\x1d\x85\xa0 !?.,--<|>endoftxt\x00\U0001f600‍﻿")
+    wild = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(1500)] + ["<|endoftext|>", "a<|startoftext|>B <|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "don't DON'T we'LL", "z" * 3000]
+    more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(wild)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(more).union(edge.select("doc_id", "text"))
+    own = collected(docs.select("text"))
+    got = Counter((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in collected(bpe.encode_documents(docs)))
+    assert got == Counter(library([r["text"] for r in own]))
+    assert bpe.encode_documents(empty).count() == 0
+    assert len(bpe.encode_documents(edge).columns) == 4

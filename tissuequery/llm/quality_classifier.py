@@ -1,7 +1,7 @@
 """Operator 8: quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A text's features are the counts of its byte pairs, hashed to WIDTH places and damped by the logarithm, weighted by
-inverse document frequency. A truncated singular value decomposition of a bounded sample of labelled rows gives the
+A text's features are the counts of its byte pairs, hashed and damped by the logarithm, and the ranges that its shares
+of repeated words and lines, capitals and marks fall into, weighted by inverse document frequency. A truncated singular value decomposition of a bounded sample of labelled rows gives the
 latent space (numpy, on the driver). The sample's latent vectors, labels and the projection are broadcast; their size
 depends on the parameters alone. Every document is projected, its cosines with all labelled vectors come from one
 matrix product a block, and its nearest neighbours vote, weighted by similarity and by how many labelled rows each
@@ -33,14 +33,38 @@ CUT = 0.3
 SHARPNESS = 4
 
 
+def shares(text: bytes) -> tuple[float, float, float, float]:
+    """The shares of words that repeat the word before, of lines that repeat a line, of upper-case letters among ASCII
+    letters, and of ASCII marks among all bytes."""
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    again = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)
+    lined = 1 - len(set(lines)) / max(1, len(lines))
+    kinds = _KIND[np.frombuffer(text, np.uint8)]
+    n = np.bincount(kinds, minlength=4)
+    return again, lined, n[1] / max(1, n[1] + n[2]), n[3] / max(1, len(text))
+
+
+#: Kinds of bytes: 1 upper case, 2 lower case, 3 other printable ASCII but digits and blank, 0 the rest.
+_KIND = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 32 < b < 127 and not 48 <= b <= 57 else 0 for b in range(256)])
+#: Shares are told apart by these limits; a text's place among them is a feature like a byte pair.
+LIMITS = np.array([0.0, 0.1, 0.3, 0.6])
+STYLE_WEIGHT = 0.5
+
+
 def counts(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Damped counts of byte pairs; the pairs are dealt to places by a multiplicative hash."""
+    """Damped counts of byte pairs, dealt to the first places by a multiplicative hash; the last places are the ranges
+    that the text's shares fall into, weighted against the length of the former."""
     b = np.frombuffer(text, np.uint8)
+    out = np.zeros(width, np.float32)
     if len(b) < 2:
-        return np.zeros(width, np.float32)
+        return out
+    style = 4 * (len(LIMITS) + 1)
     pair = (b[:-1].astype(np.uint32) << np.uint32(8)) | b[1:]
-    place = (pair * np.uint32(2654435761)) >> np.uint32(32 - width.bit_length() + 1)
-    return np.log1p(np.bincount(place, minlength=width)).astype(np.float32)
+    place = ((pair * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(width - style)
+    out[: width - style] = np.log1p(np.bincount(place, minlength=width - style))
+    for i, share in enumerate(shares(text)):
+        out[width - style + i * (len(LIMITS) + 1) + int(np.searchsorted(LIMITS, share))] = STYLE_WEIGHT * np.linalg.norm(out[: width - style])
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
