@@ -31,6 +31,14 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_tissuequery_cache", {})
 
 
+def worker_tables(owner: str) -> dict:
+    """The tables that one kind of operator keeps in a Python worker; those of another kind make way for them."""
+    cache = process_cache()
+    if cache.get("owner") != owner:
+        cache["owner"], cache["tables"] = owner, {}
+    return cache["tables"]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in plain local mode a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,7 +68,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def bound_batches(spark: SparkSession, mb: int = 8) -> None:
+def bound_batches(spark: SparkSession, mb: int = 3) -> None:
     """Arrow batches are bounded by bytes, so very long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")

@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, by_value, pieces, process_cache, read
+from ._common import bound_batches, by_value, pieces, read, worker_tables
 
 by_value(__name__)
 
-#: Codes of this many pieces are kept by each worker; then the table starts anew.
-CACHE_PIECES = 400_000
+#: Of each kind a worker keeps twice this many codes at most.
+KEEP_PIECES, KEEP_WORDS, KEEP_PAIRS = 60_000, 150_000, 150_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
 _END = "\U000f0000"  # stands for the end of a word in the search alphabet
@@ -46,6 +46,26 @@ def byte_alphabet() -> str:
     return "".join(chr(b if b in set(shown) else 256 + hidden.index(b)) for b in range(256))
 
 
+class Recent:
+    """A bounded table that keeps what was used last: when the young half is full it becomes the old half."""
+
+    def __init__(self, half: int):
+        self.half, self.young, self.old = half, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordBPE:
     """A tokenizer file of the kind "lower case, words with an end mark, byte level"."""
 
@@ -75,10 +95,8 @@ class WordBPE:
             key = t[: -len(self.mark)] + _END if t.endswith(self.mark) and len(t) > len(self.mark) else t
             self.search.add_word(key, (i, len(key)))
         self.search.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[bytes, int, bytes]] = {}
+        self.fits, self.words, self.known = Recent(KEEP_PAIRS), Recent(KEEP_WORDS), Recent(KEEP_PIECES)
+        self.whole: dict[int, bool] = {}  # at most one entry a token
 
     def symbols(self, token: int) -> list[str]:
         """A token as the model's first symbols: characters, the last with the end mark if the token has it."""
@@ -114,10 +132,12 @@ class WordBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """The pair-compatibility table, filled as pairs are met."""
-        pair = (left, right)
-        if pair not in self.fits:
-            self.fits[pair] = not self.names[left].endswith(self.mark) and self.merged(self.symbols(left) + self.symbols(right)) == [self.names[left], self.names[right]]
-        return self.fits[pair]
+        pair = left << 20 | right
+        fit = self.fits.get(pair)
+        if fit is None:
+            fit = not self.names[left].endswith(self.mark) and self.merged(self.symbols(left) + self.symbols(right)) == [self.names[left], self.names[right]]
+            self.fits.put(pair, fit)
+        return fit
 
     def word(self, word: str) -> list[int]:
         """The word's tokens, by backtracking over the longest matches."""
@@ -152,20 +172,21 @@ class WordBPE:
         blob, at = self.blob, self.at
         return b" ".join([blob[at[i] : at[i + 1]] for i in ids])
 
-    def piece(self, piece: str) -> tuple[bytes, int, bytes]:
-        ids = []
+    def piece(self, piece: str) -> tuple[bytes, bytes]:
+        """The ids of a piece between white space, packed, and their decoding."""
+        packed = []
         for w in self.pattern.findall(piece):
             code = self.words.get(w)
             if code is None:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                code = self.word(w)
+                ids = self.word(w)
+                code = struct.pack(f"<{len(ids)}I", *ids)
                 if len(w) <= 64:
-                    self.words[w] = code
-            ids += code
-        return struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids)
+                    self.words.put(w, code)
+            packed.append(code)
+        ids = b"".join(packed)
+        return ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids))
 
-    def plain(self, text: str) -> list[tuple[bytes, int, bytes]]:
+    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
         """Codes of a text without special tokens, by its pieces between white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -174,25 +195,27 @@ class WordBPE:
         text = text.lower()
         found = regex.split(f"[{_SPACE}]+", text) if _ODD.search(text) else text.split()
         known, out = self.known, []
+        young = known.young
         for p in found:
-            code = known.get(p)
+            code = young.get(p)
             if code is None:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                code = self.piece(p)
-                if len(p) <= 64:
-                    known[p] = code
-            if code[1]:
+                code = known.get(p)
+                if code is None:
+                    code = self.piece(p)
+                    if len(p) <= 64:
+                        known.put(p, code)
+                young = known.young
+            if code[0]:
                 out.append(code)
         return out
 
-    def encode(self, text: str) -> list[tuple[bytes, int, bytes]]:
+    def encode(self, text: str) -> list[tuple[bytes, bytes]]:
         if self.split_special is None or "<|" not in text:
             return self.plain(text)
         out = []
         for part in self.split_special.split(text):
             if part in self.special:
-                out.append((struct.pack("<I", self.special[part]), 1, self.decode([self.special[part]])))
+                out.append((struct.pack("<I", self.special[part]), self.decode([self.special[part]])))
             else:
                 out += self.plain(part)
         return out
@@ -200,8 +223,8 @@ class WordBPE:
 
 def encoder(file: str) -> WordBPE:
     """One encoder for each worker and tokenizer file's content."""
-    cache = process_cache()
-    key = ("bpe", hash(file))
+    cache = worker_tables("bpe")
+    key = hash(file)
     if key not in cache:
         cache[key] = WordBPE(file)
     return cache[key]
@@ -231,7 +254,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for text in texts:
                     codes = model.encode(text)
                     blob = b"".join([c[0] for c in codes])
-                    decoded = b" ".join([c[2] for c in codes])
+                    decoded = b" ".join([c[1] for c in codes])
                     n.append(len(blob) // 4)
                     sha.append(hashlib.sha256(blob).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())

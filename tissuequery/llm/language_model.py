@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, by_value, process_cache, read, spool
+from ._common import bound_batches, by_value, read, spool, worker_tables
 
 by_value(__name__)
 
@@ -94,7 +94,7 @@ class Vocabulary:
 
     @property
     def index(self) -> dict[bytes, int]:
-        cache = process_cache()
+        cache = worker_tables("language")
         key = ("vocabulary", self.tokens, self.kinds, len(self.words), hash(tuple(self.words[:50])))
         if key not in cache:
             cache[key] = {w: i for i, w in enumerate(self.words)}
@@ -246,7 +246,7 @@ def tables(v: Vocabulary, weights: dict) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _scorer(v: Vocabulary, weights: dict):
-    cache = process_cache()
+    cache = worker_tables("language")
     key = ("tables", float(weights["out"].sum()), float(weights["one"].sum()), v.tokens)
     if cache.get("tables", (None,))[0] != key:
         cache["tables"] = (key, tables(v, weights))

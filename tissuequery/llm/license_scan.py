@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, by_value, process_cache, read
+from ._common import bound_batches, by_value, read, worker_tables
 from .minhash import WordHash, mix64
 
 by_value(__name__)
@@ -66,7 +66,7 @@ def grams(words: list[bytes], k: int) -> np.ndarray:
     """Hashes of the rolling runs of k words."""
     if len(words) < k:
         return np.empty(0, np.int64)
-    cache = process_cache().setdefault("words", WordHash())
+    cache = worker_tables("words").setdefault("words", WordHash())
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):

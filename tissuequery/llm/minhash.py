@@ -22,11 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, by_value, process_cache, read, small_side, spool
+from ._common import bound_batches, by_value, read, small_side, spool, worker_tables
 
 by_value(__name__)
 
@@ -36,7 +37,7 @@ PERCENT = 75
 BROADCAST_IDS = 1_000_000
 #: Texts of a component from which its common set is taken; the results do not depend on it.
 CORE = 64
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 
 class WordHash(dict):
@@ -59,7 +60,7 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; a shorter text is one shingle; no words, none."""
     if not words:
         return np.empty(0, np.uint64)
-    cache = process_cache().setdefault("words", WordHash())
+    cache = worker_tables("words").setdefault("words", WordHash())
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     size = min(size, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
@@ -92,10 +93,15 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     return keys
 
 
-def _worded(batch: pa.RecordBatch, step: int = 64):
-    for start in range(0, batch.num_rows, step):
-        part = batch.slice(start, step)
-        yield part.column("id"), [(t or b"").lower().split() for t in part.column("text").cast(pa.binary()).to_pylist()]
+def _worded(batch: pa.RecordBatch, step: int = 64, most: int = 1 << 19):
+    """Ids and words of some rows at a time: `step` of them, or fewer with long texts."""
+    texts, start, size = batch.column("text").cast(pa.binary()), 0, 0
+    lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+    for i, n in enumerate(lengths):
+        size += n
+        if i + 1 == len(lengths) or i + 1 - start >= step or size >= most:
+            yield batch.column("id").slice(start, i + 1 - start), [(t or b"").lower().split() for t in texts.slice(start, i + 1 - start).to_pylist()]
+            start, size = i + 1, 0
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
