@@ -141,30 +141,43 @@ class WordBPE:
 
     def word(self, word: str) -> list[int]:
         """The word's tokens, by backtracking over the longest matches."""
-        text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet) + _END
+        if word.isascii() and word.isprintable():  # these bytes' characters are themselves
+            text = word + _END
+        else:
+            text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet) + _END
         size = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (token, length) in self.search.iter(text):
-            starts[end - length + 1].append((token, length))  # by length, as ends grow
-        open_at = [True] * (size + 1)
+        starts: list = [None] * size
+        for end, match in self.search.iter(text):
+            at = end - match[1] + 1
+            if starts[at] is None:
+                starts[at] = [match]
+            else:
+                starts[at].append(match)  # by length, as ends grow
+        closed: set[int] = set()
         out: list[int] = []
-        trail: list[tuple[int, list[tuple[int, int]]]] = []  # starts and what is left to try there
-        at, left = 0, starts[0][:]
+        trail: list[tuple[int, list]] = []  # starts and what is left to try there
+        whole, fits = self.whole, self.fits
+        at, left, last = 0, starts[0], -1
         while at < size:
             while left:
                 token, length = left.pop()
-                if open_at[at + length] and self.reachable(token) and (not out or self.compatible(out[-1], token)):
+                if at + length in closed or not (whole.get(token) or self.reachable(token)):
+                    continue
+                if last < 0 or fits.young.get(last << 20 | token) or self.compatible(last, token):
                     out.append(token)
                     trail.append((at, left))
                     at += length
-                    left = starts[at][:] if at < size else []
+                    last = token
+                    # a place is tried anew only if it isn't closed, so its list is whole then
+                    left = starts[at].copy() if at < size and starts[at] else []
                     break
             else:
                 if not trail:
                     raise ValueError(f"no encoding of {word!r}")
-                open_at[at] = False
+                closed.add(at)
                 at, left = trail.pop()
                 out.pop()
+                last = out[-1] if out else -1
         return out
 
     def decode(self, ids) -> bytes:
@@ -174,14 +187,14 @@ class WordBPE:
 
     def piece(self, piece: str) -> tuple[bytes, bytes]:
         """The ids of a piece between white space, packed, and their decoding."""
-        packed = []
-        for w in self.pattern.findall(piece):
-            code = self.words.get(w)
+        packed, words = [], self.words
+        for w in [piece] if piece.isascii() and piece.isalpha() else self.pattern.findall(piece):  # letters alone are one word
+            code = words.young.get(w) or words.get(w)
             if code is None:
                 ids = self.word(w)
                 code = struct.pack(f"<{len(ids)}I", *ids)
                 if len(w) <= 64:
-                    self.words.put(w, code)
+                    words.put(w, code)
             packed.append(code)
         ids = b"".join(packed)
         return ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids))
