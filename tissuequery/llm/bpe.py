@@ -108,11 +108,14 @@ class WordBPE:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merging by rank, for short sequences: it fills the tables below."""
+        rank, last = self.rank.get, len(self.rank)
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            pair = (symbols[best], symbols[best + 1])
-            if pair not in self.rank:
+            pairs = list(zip(symbols, symbols[1:]))
+            ranks = [rank(p, last) for p in pairs]
+            best = min(ranks)
+            if best == last:
                 break
+            pair = pairs[ranks.index(best)]
             out, i = [], 0
             while i < len(symbols):
                 if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
@@ -135,7 +138,8 @@ class WordBPE:
         pair = left << 20 | right
         fit = self.fits.get(pair)
         if fit is None:
-            fit = not self.names[left].endswith(self.mark) and self.merged(self.symbols(left) + self.symbols(right)) == [self.names[left], self.names[right]]
+            # two tokens that merge with each other don't stay apart
+            fit = (self.names[left], self.names[right]) not in self.rank and not self.names[left].endswith(self.mark) and self.merged(self.symbols(left) + self.symbols(right)) == [self.names[left], self.names[right]]
             self.fits.put(pair, fit)
         return fit
 
