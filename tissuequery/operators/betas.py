@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,16 @@ def interactions(cells: DataFrame, betas: DataFrame) -> DataFrame:
     return out
 
 
+def term_name() -> Column:
+    """A term's name without its prefix, of the columns term_type, a, b."""
+    pair = F.when(F.col("term_type") == "lr", F.concat("a", F.lit("$"), "b")).when(F.col("term_type") == "tfl", F.concat("a", F.lit("#"), "b"))
+    return F.coalesce(pair, F.when(F.col("term_type") == "intercept", "beta0").otherwise(F.col("a")))
+
+
 def top_coefficients(cells: DataFrame, betas: DataFrame, selected: DataFrame, k: int) -> DataFrame:
     """The k terms of largest mean absolute coefficient over the selected cells (repeats count), ties by name."""
     n = selected.join(cells.select("cell_idx", "cluster"), "cell_idx").groupBy("cluster").agg(F.count("*").alias("n"))
-    name = F.when(F.col("term_type") == "tf", F.col("a")).when(F.col("term_type") == "lr", F.concat("a", F.lit("$"), "b")).otherwise(F.concat("a", F.lit("#"), "b"))
-    out = betas.join(F.broadcast(n), "cluster").groupBy(name.alias("term")).agg((F.sum(F.col("n") * F.col("beta")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.abs("beta")) / F.sum("n")).alias("mean_abs"))
+    out = betas.join(F.broadcast(n), "cluster").groupBy(term_name().alias("term")).agg((F.sum(F.col("n") * F.col("beta")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.abs("beta")) / F.sum("n")).alias("mean_abs"))
     return out.select("term", F.round("mean", 9).alias("mean"), F.round("mean_abs", 9).alias("mean_abs")).orderBy(F.desc("mean_abs"), "term").limit(k)
 
 

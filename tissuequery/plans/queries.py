@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import codec
 from ..operators import betas as B
-from ..operators import kernel, lasso, neighbors, network, perturb, summaries, transition
+from ..operators import context, kernel, lasso, neighbors, network, perturb, summaries, transition
 from ..sources import adapters as A
 from ..sources.tables import cut
 
@@ -283,14 +283,7 @@ def cell_context(spark, d):
     """Ligand-receptor edges from cell 7 to its near cells: both expressed, score sqrt(L R), 48 a neighbour at most,
     each with the ligand's most expressed factor in the sender."""
     near = neighbors.from_one(A.cells(spark, d), 7).orderBy("d2", "j").limit(10).select("j")
-    edges, x = A.network(spark), A.expression(spark, d)
-    own = x.where("cell_idx = 7 AND value > 0.01")
-    pairs = network.lr_pairs(edges).join(F.broadcast(own.select(F.col("gene").alias("ligand"), F.col("value").alias("l"))), "ligand")
-    theirs = x.where("value > 0.01").join(F.broadcast(near), F.col("cell_idx") == F.col("j")).select("j", F.col("gene").alias("receptor"), F.col("value").alias("r"))
-    by = Window.partitionBy("j").orderBy("pair_order")
-    found = theirs.join(F.broadcast(pairs), "receptor").withColumn("k", F.row_number().over(by)).where("k <= 48")
-    tf = edges.where("edge_type = 'nichenet'").join(F.broadcast(own.select(F.col("gene").alias("target"), "value")), "target").groupBy(F.col("source").alias("ligand")).agg(F.max_by("target", F.struct("value", "target")).alias("tf"))
-    return found.join(F.broadcast(tf), "ligand", "left").select("j", "ligand", "receptor", F.round(F.sqrt(F.col("l") * F.col("r")), 6).alias("score"), F.coalesce("tf", F.lit("")).alias("tf"))
+    return context.sender_edges(A.network(spark), A.expression(spark, d), 7, near).select("j", "ligand", "receptor", r6("score"), "tf")
 
 
 @query
