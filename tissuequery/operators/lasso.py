@@ -106,3 +106,63 @@ def quality(predictions: DataFrame) -> DataFrame:
     out = predictions.groupBy("target", "cluster").agg(F.count("*").alias("n"), F.sum((F.col("y") - F.col("y_hat")) * (F.col("y") - F.col("y_hat"))).alias("res"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
     tot = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     return out.select("target", "cluster", "n", (F.col("res") / F.col("n")).alias("mse"), F.when(tot > 1e-15, 1 - F.col("res") / tot).otherwise(0.0).alias("r2"))
+
+
+def chosen_rows(n: int, scheme: str | float | int | None, rng: np.random.Generator) -> np.ndarray:
+    """Sorted row numbers: all (None), a share (float), a count (int) or the root of n ('sqrt')."""
+    if scheme is None:
+        return np.arange(n)
+    many = int(np.sqrt(n)) if scheme == "sqrt" else int(n * scheme) if isinstance(scheme, float) else int(scheme)
+    return np.sort(rng.choice(n, size=max(1, min(many, n)), replace=False)) if n else np.arange(0)
+
+
+def largest_singular_value(x: np.ndarray, scheme=None, seed: int = 0, most: int = 20, tolerance: float = 5e-3) -> float:
+    """By power iteration from a seeded start; with a scheme on some rows, scaled up to all."""
+    rng = np.random.default_rng(seed)
+    rows = chosen_rows(len(x), scheme, rng)
+    own, size = x[rows], 0.0
+    if not own.size:
+        return 0.0
+    v = rng.normal(size=x.shape[1])
+    for _ in range(most):
+        v = own.T @ (own @ (v / max(float(np.linalg.norm(v)), 1e-300)))
+        now = float(np.sqrt(np.linalg.norm(v)))
+        if abs(now - size) <= tolerance * now:
+            size = now
+            break
+        size = now
+    return size * float(np.sqrt(len(x) / len(rows)))
+
+
+def active(coef: np.ndarray) -> np.ndarray:
+    """Which features a fit uses: coefficients that aren't negligible beside the mean size."""
+    return np.abs(coef) > 1e-10 * np.abs(coef).mean() if len(coef) else np.zeros(0, bool)
+
+
+def active_groups(coef: np.ndarray, groups: np.ndarray) -> set[int]:
+    return {int(g) for g in np.unique(groups[active(coef)])}
+
+
+def transformed(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """The columns of the features in use."""
+    return x[:, active(coef)]
+
+
+def predict(x: np.ndarray, fitted: dict) -> np.ndarray:
+    if x.shape[1] != len(fitted["coef"]):
+        raise ValueError(f"{x.shape[1]} columns for {len(fitted['coef'])} coefficients")
+    return x @ fitted["coef"] + fitted["intercept"]
+
+
+def fit_clusters(x: np.ndarray, y: np.ndarray, clusters: np.ndarray, groups: np.ndarray, **options) -> dict[int, dict]:
+    """A fit for each cluster of arrays in memory; for tables use fit_groups."""
+    return {int(c): fit(x[clusters == c], y[clusters == c], groups, **options) for c in np.unique(clusters)}
+
+
+def predict_clusters(x: np.ndarray, clusters: np.ndarray, fits: dict[int, dict]) -> np.ndarray:
+    out = np.zeros(len(x))
+    for c in np.unique(clusters):
+        if int(c) not in fits:
+            raise KeyError(f"no fit of cluster {c}")
+        out[clusters == c] = predict(x[clusters == c], fits[int(c)])
+    return out
