@@ -12,6 +12,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
+BLOCK = 64
+
 
 def finite(df: DataFrame, x: str, y: str) -> DataFrame:
     bad = [F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in (x, y)]
@@ -88,3 +92,36 @@ def morans_i(residuals: DataFrame, edges: DataFrame) -> DataFrame:
     sums = linked.groupBy("gene").agg(F.count("*").alias("s0"), F.sum(F.col("zi") * F.col("zj")).alias("zz_ij"))
     value = F.when((F.col("n") < 2) | (F.col("zz") <= 0) | F.col("s0").isNull(), 0.0).otherwise(F.col("n") / F.col("s0") * F.col("zz_ij") / F.col("zz"))
     return base.join(sums, "gene", "left").select("gene", value.alias("moran_i"))
+
+
+def moran_permutations(residuals: DataFrame, edges: DataFrame, genes: list[str], many: int) -> DataFrame:
+    """gene, moran_i, p: residuals are dealt anew to the cells `many` times, by hashes of (permutation, cell), and
+    p = (1 + as extreme deals) / (1 + many). All genes share the deals, so the links are moved once a deal and carry the
+    genes side by side, in blocks of BLOCK. residuals: gene, cell_idx, e, every gene over all cells."""
+    edges, cells = cut(edges.select("i", "j")), cut(residuals.select("cell_idx").distinct())
+    perms = cells.select("cell_idx", F.explode(F.sequence(F.lit(1), F.lit(many))).alias("perm"))
+    place = Window.partitionBy("perm").orderBy("cell_idx")
+    dealt = Window.partitionBy("perm").orderBy(F.xxhash64("perm", "cell_idx"), "cell_idx")
+    ranked = perms.select("perm", "cell_idx", F.row_number().over(place).alias("a"), F.row_number().over(dealt).alias("b"))
+    given = ranked.select("perm", F.col("a").alias("r"), "cell_idx").join(ranked.select("perm", F.col("b").alias("r"), F.col("cell_idx").alias("from")), ["perm", "r"]).select("perm", "cell_idx", "from")
+    given = cut(given.union(cells.select(F.lit(0).alias("perm"), "cell_idx", F.col("cell_idx").alias("from"))))  # deal 0: as observed
+    ends = [given.select("perm", F.col("cell_idx").alias(c), F.col("from").alias(f"from_{c}")) for c in ("i", "j")]
+    moved = edges.join(ends[0], "i").join(ends[1], ["perm", "j"]).select("perm", "from_i", "from_j")
+    n, out = cells.count(), None
+    for k in range(0, len(genes), BLOCK):
+        own = genes[k : k + BLOCK]
+        names = [f"z{g}" for g in range(len(own))]
+        wide = residuals.where(F.col("gene").isin(own)).groupBy("cell_idx").agg(*(F.sum(F.when(F.col("gene") == g, F.col("e"))).alias(z) for g, z in zip(own, names)))
+        means = wide.agg(*(F.avg(z).alias(z) for z in names)).first()
+        z = cut(wide.select("cell_idx", *((F.col(c) - F.lit(means[c])).alias(c) for c in names)))
+        squares = z.agg(*(F.sum(F.col(c) * F.col(c)).alias(c) for c in names)).first()
+        a, b = (z.select(F.col("cell_idx").alias(f"from_{e}"), *(F.col(c).alias(f"{c}_{e}") for c in names)) for e in ("i", "j"))
+        sums = moved.join(a, "from_i").join(b, "from_j").groupBy("perm").agg(F.count("*").alias("s0"), *(F.sum(F.col(f"{c}_i") * F.col(f"{c}_j")).alias(c) for c in names))
+        value = [F.lit(0.0) if n < 2 or not squares[c] or squares[c] <= 0 else F.lit(n) / F.col("s0") * F.col(c) / F.lit(squares[c]) for c in names]
+        rows = sums.select("perm", F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), v.alias("i")) for g, v in zip(own, value)))).alias("r")).select("perm", "r.gene", "r.i")
+        seen = F.max(F.when(F.col("perm") == 0, F.col("i"))).over(Window.partitionBy("gene"))
+        hits = F.sum(((F.col("perm") > 0) & (F.abs("i") >= F.abs("moran_i") - 1e-15)).cast("long"))
+        part = rows.withColumn("moran_i", seen).groupBy("gene").agg(F.first("moran_i").alias("moran_i"), ((1 + hits) / (1 + many)).alias("p"))
+        out = part if out is None else out.union(part)
+    unlinked = residuals.select("gene").distinct().where(F.col("gene").isin(genes))
+    return unlinked.join(out, "gene", "left").select("gene", F.coalesce("moran_i", F.lit(0.0)).alias("moran_i"), F.coalesce("p", F.lit(1.0)).alias("p"))

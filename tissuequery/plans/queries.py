@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import codec
 from ..operators import betas as B
@@ -288,26 +287,16 @@ def cell_context(spark, d):
 
 @query
 def moran_i(spark, d):
-    e = _dense(spark, d).where("gene < 'G10'").select("gene", "cell_idx", F.col("value").alias("e"))
+    e = _dense(spark, d).select("gene", "cell_idx", F.col("value").alias("e"))
     return neighbors.morans_i(e, neighbors.symmetric(neighbors.nearest(A.cells(spark, d), 6))).select("gene", r6("moran_i"))
 
 
 @query
 def moran_p(spark, d):
-    """Permutation test: residuals are dealt anew to the cells by hashes of (permutation, cell)."""
-    many = 19
-    e = _dense(spark, d).where("gene < 'G04'").select("gene", "cell_idx", F.col("value").alias("e"))
-    edges = cut(neighbors.symmetric(neighbors.nearest(A.cells(spark, d), 6)))
-    perms = e.select("gene", "cell_idx", "e", F.explode(F.sequence(F.lit(1), F.lit(many))).alias("perm"))
-    place = Window.partitionBy("gene", "perm").orderBy("cell_idx")
-    dealt = Window.partitionBy("gene", "perm").orderBy(F.xxhash64("perm", "cell_idx"), "cell_idx")
-    ranked = perms.select("gene", "perm", "cell_idx", "e", F.row_number().over(place).alias("a"), F.row_number().over(dealt).alias("b"))
-    moved = ranked.select("gene", "perm", F.col("a").alias("r"), "cell_idx").join(ranked.select("gene", "perm", F.col("b").alias("r"), "e"), ["gene", "perm", "r"])
-    named = moved.select(F.concat("gene", F.lit("/"), F.col("perm").cast("string")).alias("gene"), "cell_idx", "e")
-    sim = neighbors.morans_i(named, edges).select(F.split("gene", "/")[0].alias("gene"), F.col("moran_i").alias("i"))
-    obs = neighbors.morans_i(e, edges)
-    hits = sim.join(obs, "gene").groupBy("gene").agg(F.first("moran_i").alias("moran_i"), F.sum((F.abs("i") >= F.abs("moran_i") - 1e-15).cast("long")).alias("h"))
-    return hits.select("gene", r6("moran_i"), ((1 + F.col("h")) / (1 + many)).alias("p"))
+    """Permutation test of every gene, with the reference's 99 permutations."""
+    e = _dense(spark, d).select("gene", "cell_idx", F.col("value").alias("e"))
+    genes = [f"G{i:02d}" for i in range(A.GENES)]
+    return neighbors.moran_permutations(e, neighbors.symmetric(neighbors.nearest(A.cells(spark, d), 6)), genes, 99).select("gene", r6("moran_i"), "p")
 
 
 def _corr(spark, d):
