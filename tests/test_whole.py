@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,27 @@ def test_moran_p_of_all_genes(spark, sf_dir):
     assert sorted(got["gene"]) == GENES
     assert all(abs(100 * p - round(100 * p)) < 1e-9 and 0.01 <= p <= 1 for p in got["p"]) and any(round(100 * p) % 5 for p in got["p"])
     assert dict(zip(got["gene"], got["moran_i"])) == pytest.approx({r["gene"]: r["moran_i"] for r in QUERIES["moran_i"](spark, sf_dir).collect()}, abs=2e-6)
+
+
+TARGETS = GENES[::8]
+
+
+def by_target(duck, name):
+    """The SQL, which is of target G08, for each target."""
+    return pd.concat([duck.execute(SQL[name].replace("'G08'", f"'{t}'")).fetchdf().assign(target=t) for t in TARGETS])
+
+
+@pytest.mark.parametrize("name", ["design_matrix", "predict_lasso", "fit_quality"])
+def test_all_targets(spark, duck, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(set(got["target"])) == TARGETS
+    same(got, by_target(duck, name))
+
+
+def test_lasso_fit_of_all_targets(spark, sf_dir):
+    got = QUERIES["lasso_fit"](spark, sf_dir).toPandas()
+    assert sorted(set(got["target"])) == TARGETS
+    clusters = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count().toPandas()
+    for t in TARGETS:
+        own = got[got["target"] == t]
+        assert dict(zip(own["cluster"], own["n_cells"])) == dict(zip(clusters["label"], clusters["count"]))

@@ -345,14 +345,14 @@ def _design_long(spark, d):
 @query
 def design_matrix(spark, d):
     long, _ = _design_long(spark, d)
-    return long.where("target = 'G08'").select("cell_idx", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"), r6("x"))
+    return long.select("target", "cell_idx", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"), r6("x"))
 
 
 def _design(spark, d):
     long, dense = _design_long(spark, d)
     kind = F.when(F.col("term_type") == "tf", 0).when(F.col("term_type") == "lr", 1).otherwise(2)
     item = F.struct(kind.alias("g"), F.col("a"), F.coalesce("b", F.lit("")).alias("b"), F.col("x"))
-    rows = long.where("target IN ('G08', 'G16')").groupBy("target", "cluster", "cell_idx").agg(F.array_sort(F.collect_list(item)).alias("t"))
+    rows = long.groupBy("target", "cluster", "cell_idx").agg(F.array_sort(F.collect_list(item)).alias("t"))
     y = dense.select(F.col("gene").alias("target"), "cell_idx", F.col("value").alias("y"))
     return rows.join(y, ["target", "cell_idx"]).select("target", "cluster", "cell_idx", "y", F.transform("t", lambda s: s["x"]).alias("x"), F.transform("t", lambda s: s["g"].cast("long")).alias("groups"))
 
@@ -364,14 +364,14 @@ def lasso_fit(spark, d):
 
 def _fits(spark, d):
     """Given coefficients, not fitted ones, so that SQL can follow: intercept 0.01 cluster, coefficients 0.001 times the place."""
-    design = _design(spark, d).where("target = 'G08'")
+    design = cut(_design(spark, d))
     fits = design.groupBy("target", "cluster").agg(F.max(F.size("x")).alias("n")).select("target", "cluster", (F.col("cluster") * 0.01).alias("intercept"), F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i * F.lit(0.001)).alias("coef"))
     return lasso.predicted(design, fits)
 
 
 @query
 def predict_lasso(spark, d):
-    return _fits(spark, d).select("cell_idx", r6("y"), r6("y_hat"))
+    return _fits(spark, d).select("target", "cell_idx", r6("y"), r6("y_hat"))
 
 
 @query
