@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tissuequery.operators import neighbors
+from tissuequery.operators import betas, neighbors
 from tissuequery.plans.registry import QUERIES, SQL
 
 from test_queries import rows
@@ -96,3 +96,30 @@ def test_lasso_fit_of_all_targets(spark, sf_dir):
     for t in TARGETS:
         own = got[got["target"] == t]
         assert dict(zip(own["cluster"], own["n_cells"])) == dict(zip(clusters["label"], clusters["count"]))
+
+
+CUTS = {
+    "interactions": [" WHERE cell_idx % 2 = 0"],
+    "quick_delta": [" WHERE gene IN ('G10', 'G11')"],
+    "tfl_pairs": [" WHERE ligand < 'G20'"],
+    "modulator_terms": [" WHERE ligand < 'G20'", "ligand < 'G08' AND "],
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_all_cells_genes_and_ligands(spark, duck, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    same(got, duck.execute(uncut(name, *CUTS[name])).fetchdf())
+    if name == "quick_delta":
+        assert sorted(set(got["gene"])) == GENES
+    if name == "tfl_pairs":
+        assert got["ligand"].max() >= "G20"
+    if name == "modulator_terms":
+        assert got[got["term_type"] == "lr"]["a"].max() >= "G08"
+
+
+def test_interactions_of_a_scope(spark):
+    cells = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)], "cell_idx long, cluster int")
+    b = spark.createDataFrame([(0, "T", "tf", "A", None, 1.0), (1, "T", "tf", "A", None, -0.5)], "cluster int, target string, term_type string, a string, b string, beta double")
+    all_, some = (betas.interactions(c, b).first() for c in (cells, cells.where("cell_idx % 2 = 0")))
+    assert (all_["sum"], all_["mean"], some["sum"], some["mean"]) == pytest.approx((0.5, 0.1, 0.0, 0.0))

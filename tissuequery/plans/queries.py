@@ -141,7 +141,7 @@ def lr_pairs_top(spark, d):
 
 def _tfl(spark):
     edges = A.network(spark)
-    chosen = network.lr_pairs(edges).select("ligand").where("ligand < 'G20'")
+    chosen = network.lr_pairs(edges).select("ligand")
     return network.tfl_pairs(edges, network.regulators(edges), chosen, 0.2)
 
 
@@ -153,7 +153,7 @@ def tfl_pairs(spark, d):
 @query
 def modulator_terms(spark, d):
     edges, targets = A.network(spark), A.genes(spark).where("gene_idx % 8 = 0").select(F.col("gene").alias("target"))
-    return network.modulator_terms(network.regulators(edges), network.lr_pairs(edges).where("ligand < 'G08'"), _tfl(spark), targets)
+    return network.modulator_terms(network.regulators(edges), network.lr_pairs(edges), _tfl(spark), targets)
 
 
 @query
@@ -190,7 +190,7 @@ def cell_beta_map(spark, d):
 
 @query
 def interactions(spark, d):
-    out = B.interactions(A.cells(spark, d).where("cell_idx % 2 = 0"), A.betas(spark))
+    out = B.interactions(A.cells(spark, d), A.betas(spark))
     return out.select("target", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"), *(r6(c) for c in ("mean", "min", "max", "sum", "positive", "negative")))
 
 
@@ -245,7 +245,7 @@ def perturb_summary(spark, d):
 
 @query
 def quick_delta(spark, d):
-    return perturb.quick_delta(_dense(spark, d), "G10", 0.5, F.col("cell_idx") % 2 == 0).where("gene IN ('G10', 'G11')").select("cell_idx", "gene", r6("delta"))
+    return perturb.quick_delta(_dense(spark, d), "G10", 0.5, F.col("cell_idx") % 2 == 0).select("cell_idx", "gene", r6("delta"))
 
 
 @query
