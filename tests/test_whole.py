@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tissuequery.operators import betas, neighbors
+from tissuequery.operators import betas, kernel, neighbors, perturb
 from tissuequery.plans.registry import QUERIES, SQL
 
 from test_queries import rows
@@ -123,3 +123,35 @@ def test_interactions_of_a_scope(spark):
     b = spark.createDataFrame([(0, "T", "tf", "A", None, 1.0), (1, "T", "tf", "A", None, -0.5)], "cluster int, target string, term_type string, a string, b string, beta double")
     all_, some = (betas.interactions(c, b).first() for c in (cells, cells.where("cell_idx % 2 = 0")))
     assert (all_["sum"], all_["mean"], some["sum"], some["mean"]) == pytest.approx((0.5, 0.1, 0.0, 0.0))
+
+
+def test_perturbation_is_exact_at_any_size(spark, monkeypatch):
+    n, rng = 300, np.random.default_rng(5)
+    at = rng.uniform(0, 200, (n, 2))
+    cells = spark.createDataFrame([(i, f"c{i}", float(x), float(y), 0, "a", "k") for i, (x, y) in enumerate(at)], "cell_idx long, cell_id string, x double, y double, cluster int, cell_type string, condition string")
+    dense = spark.createDataFrame([(i, g, float(rng.uniform(0, 5))) for i in range(n) for g in "LRT"], "cell_idx long, gene string, value double")
+    b = spark.createDataFrame([(0, "T", "lr", "L", "R", 0.5)], "cluster int, target string, term_type string, a string, b string, beta double")
+    wanted = cells.where("cell_idx % 3 = 0").select("cell_idx", F.lit("L").alias("gene"), F.lit(0.0).alias("desired"))
+
+    def deltas(**k):
+        return {(r["cell_idx"], r["gene"]): r["delta"] for r in perturb.propagate(cells, dense, b, wanted, {"L": 50.0}, 1, **k).collect()}
+
+    want = deltas()
+    monkeypatch.setattr(kernel, "GRID_FROM", 100)  # 300 cells are many, and more than the grid's anchors
+    got, grid = deltas(), deltas(factor=0.5)
+    assert got == pytest.approx(want, abs=1e-12)
+    assert max(abs(grid[k] - want[k]) for k in want) > 1e-4
+
+
+def test_planner_takes_the_grid_above_its_bound(spark, monkeypatch):
+    cells = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(400)], "cell_idx long, x double, y double")
+    v = spark.createDataFrame([(i, "L", float(i % 7)) for i in range(400)], "cell_idx long, gene string, value double")
+
+    def received():
+        return [r["value"] for r in kernel.received(cells, v, ["L"], [4.0]).orderBy("cell_idx").collect()]
+
+    exact = received()
+    monkeypatch.setattr(kernel, "GRID_FROM", 400)
+    assert received() == pytest.approx(exact, abs=1e-12)
+    monkeypatch.setattr(kernel, "GRID_FROM", 399)
+    assert max(abs(a - b) for a, b in zip(received(), exact)) > 1e-6

@@ -4,7 +4,7 @@ received(i, l) = (1 / N) * sum over j of scale * exp(-d(i, j)^2 / (2 r^2)) * L(j
 
 The exact form is quadratic in the cells by definition; with a grid factor the sum is taken at anchors, whose number
 depends on the area and the radius, not on the cells, and carried to the cells by bilinear interpolation. received()
-plans: exact below GRID_FROM cells, on the grid from there or when asked for.
+plans for a training design: exact up to GRID_FROM cells, on the grid above or when asked for.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _at_anchors(places: DataFrame, sources: DataFrame, many: int, radius: float,
 def received(cells: DataFrame, values: DataFrame, ligands: list[str], radii: list[float], scale: float = 1.0, threshold: float | None = None, factor: float | None = None) -> DataFrame:
     """The planner: exact, or by groups of equal radius on the grid."""
     n = cells.count()
-    if factor is None and n < GRID_FROM:
+    if factor is None and n <= GRID_FROM:
         return exact(cells, values, ligands, radii, scale, threshold, n)
     out = None
     for r in sorted(set(radii)):
