@@ -77,14 +77,14 @@ VECTORS = (*PROBS, """vec AS (SELECT c.cell_idx, c.umap_x, c.umap_y, coalesce(su
   FROM cells c LEFT JOIN trans t ON t.i = c.cell_idx LEFT JOIN cells d ON d.cell_idx = t.j GROUP BY ALL)""")
 DESIGN = (CELLS, GENES, EXPRESSION, DENSE, TERMS, RECEIVED, """design AS (SELECT target, d.cell_idx, term_type, a, b, value AS x FROM terms JOIN dense d ON d.gene = a WHERE term_type = 'tf'
   UNION ALL SELECT target, d.cell_idx, term_type, a, b, r.value * d.value FROM terms JOIN dense d ON d.gene = b JOIN received r ON r.cell_idx = d.cell_idx AND r.gene = a WHERE term_type <> 'tf')""")
-PREDICTED = (*DESIGN, """placed AS (SELECT cell_idx, x, row_number() OVER (PARTITION BY cell_idx ORDER BY CASE term_type WHEN 'tf' THEN 0 WHEN 'lr' THEN 1 ELSE 2 END, a, coalesce(b, ''), x) AS k FROM design WHERE target = 'G08'),
-predicted AS (SELECT p.cell_idx, any_value(c.cluster) AS cluster, any_value(d.value) AS y, any_value(c.cluster) * 0.01::DOUBLE + sum(p.x * k * 0.001::DOUBLE) AS y_hat FROM placed p JOIN cells c ON c.cell_idx = p.cell_idx JOIN dense d ON d.cell_idx = p.cell_idx AND d.gene = 'G08' GROUP BY p.cell_idx)""")
+PREDICTED = (*DESIGN, """placed AS (SELECT target, cell_idx, x, row_number() OVER (PARTITION BY target, cell_idx ORDER BY CASE term_type WHEN 'tf' THEN 0 WHEN 'lr' THEN 1 ELSE 2 END, a, coalesce(b, ''), x) AS k FROM design),
+predicted AS (SELECT p.target, p.cell_idx, any_value(c.cluster) AS cluster, any_value(d.value) AS y, any_value(c.cluster) * 0.01::DOUBLE + sum(p.x * k * 0.001::DOUBLE) AS y_hat FROM placed p JOIN cells c ON c.cell_idx = p.cell_idx JOIN dense d ON d.cell_idx = p.cell_idx AND d.gene = p.target GROUP BY p.target, p.cell_idx)""")
 GATE = """gate AS (SELECT gene, gene_idx AS i, i % 17 = 0 AS skip, i % 13 = 0 AS force, i * 7 % 200 AS min_cells, i % 9 <> 0 AS converged, (i * 11 % 40) / 100.0::DOUBLE AS mean_r2, i * 5 % 60 AS n_mods, (i * 5 % 60) / 2.0::DOUBLE AS n_spatial, (i * 3 % 20) / 100.0::DOUBLE + 0.001::DOUBLE AS p FROM genes),
 decided AS (SELECT gene, CASE WHEN skip THEN 'skip list' WHEN force THEN 'allow list' WHEN min_cells < 50 THEN 'few cells' WHEN NOT converged THEN 'not converged' WHEN mean_r2 < 0.1 * (1.4 - 0.8 * 0.5) THEN 'low r2'
   WHEN n_mods > 40 AND p > 0.01 THEN 'many terms' WHEN n_mods <= 40 AND p > 0.05 THEN 'no pattern' ELSE 'pattern' END AS reason, -ln(CASE WHEN skip THEN 1.0 ELSE p END) + CASE WHEN n_mods > 0 THEN n_spatial / n_mods ELSE 0 END + mean_r2 AS score FROM gate)"""
 PICK = """regs AS (SELECT target, source AS tf, min(edge_order) AS tf_order FROM network WHERE edge_type = 'grn' AND source <> target GROUP BY ALL),
 lrp AS (SELECT source AS ligand, target AS receptor, min(edge_order) AS pair_order FROM network WHERE edge_type = 'lr' GROUP BY ALL),
-best AS (SELECT target AS tf, source AS ligand, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY weight DESC, edge_order) AS rank FROM network WHERE edge_type = 'nichenet' AND weight > 0.2 AND source IN (SELECT ligand FROM lrp WHERE ligand < 'G20')) WHERE rank <= 5),
+best AS (SELECT target AS tf, source AS ligand, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY weight DESC, edge_order) AS rank FROM network WHERE edge_type = 'nichenet' AND weight > 0.2 AND source IN (SELECT ligand FROM lrp)) WHERE rank <= 5),
 tfl AS (SELECT r.target, ligand, r.tf, weight, rank FROM regs r JOIN best b ON b.tf = r.tf WHERE ligand <> r.target)"""
 ONE = """seen AS (SELECT c.cell_idx AS j, (c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) AS d2 FROM cells c, (SELECT x, y FROM cells WHERE cell_idx = 7) o WHERE c.cell_idx <> 7)"""
 DELTAS = "SELECT cell_idx, gene, round(delta, 6) AS delta, round(simulated, 6) AS simulated FROM final"
@@ -119,13 +119,13 @@ t AS (SELECT *, CASE WHEN b = '' THEN 'group' ELSE b END AS base FROM s)""") + "
     "regulators": with_(GENES, NETWORK, PICK) + "SELECT * FROM regs",
     "lr_pairs_top": with_(GENES, DENSE, NETWORK, PICK, "m AS (SELECT gene, round(avg(value), 9) AS mean FROM dense GROUP BY gene)") + "SELECT ligand, receptor, pair_order, round(round(0.5 * (l.mean + r.mean), 9), 6) AS score FROM lrp JOIN m l ON l.gene = ligand JOIN m r ON r.gene = receptor ORDER BY round(0.5 * (l.mean + r.mean), 9) DESC, pair_order LIMIT 25",
     "tfl_pairs": with_(GENES, NETWORK, PICK) + "SELECT target, ligand, tf, round(weight, 6) AS weight, rank FROM tfl",
-    "modulator_terms": with_(GENES, NETWORK, PICK, "t AS (SELECT gene AS target FROM genes WHERE gene_idx % 8 = 0)") + "SELECT target, 'tf' AS term_type, tf AS a, NULL::VARCHAR AS b FROM regs JOIN t USING (target) UNION ALL SELECT target, 'lr', ligand, receptor FROM lrp, t WHERE ligand < 'G08' AND ligand <> target AND receptor <> target UNION ALL SELECT target, 'tfl', ligand, tf FROM tfl JOIN t USING (target)",
+    "modulator_terms": with_(GENES, NETWORK, PICK, "t AS (SELECT gene AS target FROM genes WHERE gene_idx % 8 = 0)") + "SELECT target, 'tf' AS term_type, tf AS a, NULL::VARCHAR AS b FROM regs JOIN t USING (target) UNION ALL SELECT target, 'lr', ligand, receptor FROM lrp, t WHERE ligand <> target AND receptor <> target UNION ALL SELECT target, 'tfl', ligand, tf FROM tfl JOIN t USING (target)",
     "modulator_genes": with_(GENES, TERMS) + "SELECT DISTINCT target, 'beta_' || g AS gene FROM (SELECT target, a AS g FROM terms UNION ALL SELECT target, b FROM terms WHERE b IS NOT NULL)",
     "priors_masks": with_(GENES, NETWORK, TERMS, """pr AS (SELECT DISTINCT source, target, 'type_' || (edge_order % 2) AS cell_type FROM network WHERE edge_type = 'grn' AND edge_order % 3 = 0 AND substr(target, 2)::INT % 16 = 0),
 ct AS (SELECT c AS cluster, 'type_' || (c % 5) AS cell_type FROM range(10) r(c))""") + "SELECT t.target, t.a, cluster, NOT EXISTS (SELECT 1 FROM pr WHERE pr.target = t.target AND pr.cell_type = ct.cell_type) OR EXISTS (SELECT 1 FROM pr WHERE pr.target = t.target AND pr.cell_type = ct.cell_type AND pr.source = t.a) AS allowed FROM terms t, ct WHERE term_type = 'tf'",
     "decode_terms": with_(GENES, TERMS) + "SELECT target, 'beta_' || a || CASE term_type WHEN 'lr' THEN '$' || b WHEN 'tfl' THEN '#' || b ELSE '' END AS term, term_type AS kind, CASE term_type WHEN 'lr' THEN 'ligand-receptor' WHEN 'tfl' THEN 'ligand-tf' ELSE 'tf' END AS shown, a, coalesce(b, '') AS b FROM terms",
     "cell_beta_map": with_(*MODEL) + "SELECT cell_idx, cluster::VARCHAR AS row_id, round(coalesce((SELECT arg_max(beta, a) FROM betas b WHERE b.cluster = c.cluster AND target = 'G08' AND term_type = 'tf'), 0), 6) AS beta FROM cells c",
-    "interactions": with_(*MODEL) + "SELECT target, term_type, a, coalesce(b, '') AS b, round(avg(beta), 6) AS mean, round(min(beta), 6) AS min, round(max(beta), 6) AS max, round(sum(beta), 6) AS sum, round(avg(beta) FILTER (beta > 0), 6) AS positive, round(avg(beta) FILTER (beta < 0), 6) AS negative FROM cells JOIN betas USING (cluster) WHERE cell_idx % 2 = 0 GROUP BY target, term_type, a, b",
+    "interactions": with_(*MODEL) + "SELECT target, term_type, a, coalesce(b, '') AS b, round(avg(beta), 6) AS mean, round(min(beta), 6) AS min, round(max(beta), 6) AS max, round(sum(beta), 6) AS sum, round(avg(beta) FILTER (beta > 0), 6) AS positive, round(avg(beta) FILTER (beta < 0), 6) AS negative FROM cells JOIN betas USING (cluster) GROUP BY target, term_type, a, b",
     "top_coefficients": with_(*MODEL, "s AS (SELECT cell_idx, cluster FROM cells WHERE cell_idx < 40 UNION ALL SELECT cell_idx, cluster FROM cells WHERE cell_idx < 5), t AS (SELECT a || CASE term_type WHEN 'lr' THEN '$' || b WHEN 'tfl' THEN '#' || b ELSE '' END AS term, round(avg(beta), 9) AS mean, round(avg(abs(beta)), 9) AS mean_abs FROM s JOIN betas USING (cluster) WHERE target = 'G16' GROUP BY 1)") + "SELECT term, round(mean, 6) AS mean, round(mean_abs, 6) AS mean_abs FROM t ORDER BY t.mean_abs DESC, term LIMIT 10",
     "splash": with_(*MODEL, RECEIVED, splash("slope", "dense", "received", "received")) + "SELECT cell_idx, target, gene, round(deriv, 6) AS deriv FROM slope",
     "splash_capped": with_(*MODEL, RECEIVED, splash("slope", "dense", "received", "received")) + "SELECT cell_idx, target, gene, round(greatest(least(deriv, 0.2), -0.2), 6) AS deriv FROM slope",
@@ -133,7 +133,7 @@ ct AS (SELECT c AS cluster, 'type_' || (c % 5) AS cell_type FROM range(10) r(c))
     "perturb_round2": with_(*MODEL, propagate(2)) + DELTAS,
     "perturb_scoped": with_(*MODEL, propagate(1, "c.cell_type = 'type_1'")) + DELTAS,
     "perturb_summary": with_(*MODEL, propagate(1)) + "SELECT gene, round(avg(delta), 6) AS mean_delta, round(max(abs(delta)), 6) AS max_abs FROM final GROUP BY gene HAVING round(max(abs(delta)), 6) > 1e-12 ORDER BY max_abs DESC, gene LIMIT 50",
-    "quick_delta": with_(GENES, DENSE) + "SELECT cell_idx, gene, round(CASE WHEN gene = 'G10' AND cell_idx % 2 = 0 THEN 0.5 - value ELSE 0 END, 6) AS delta FROM dense WHERE gene IN ('G10', 'G11')",
+    "quick_delta": with_(GENES, DENSE) + "SELECT cell_idx, gene, round(CASE WHEN gene = 'G10' AND cell_idx % 2 = 0 THEN 0.5 - value ELSE 0 END, 6) AS delta FROM dense",
     "neighbor_counts": with_(CELLS) + "SELECT a.cell_idx, b.cluster::BIGINT AS cluster, count(*) AS n FROM cells a JOIN cells b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 10000 GROUP BY ALL",
     "knn_embedding": with_(CELLS, KNN) + "SELECT i, j, rank, round(d2, 6) AS d2 FROM knn",
     "knn_symmetric": with_(CELLS, KNN6) + "SELECT i, j FROM sym",
@@ -142,7 +142,7 @@ ct AS (SELECT c AS cluster, 'type_' || (c % 5) AS cell_type FROM range(10) r(c))
     "cell_context": with_(CELLS, GENES, EXPRESSION, NETWORK, PICK, ONE, """near AS (SELECT j FROM seen ORDER BY d2, j LIMIT 10), own AS (SELECT gene, value FROM expression WHERE cell_idx = 7 AND value > 0.01),
 f AS (SELECT j, ligand, receptor, o.value AS l, e.value AS r, row_number() OVER (PARTITION BY j ORDER BY pair_order) AS k FROM near JOIN expression e ON e.cell_idx = j AND e.value > 0.01 JOIN lrp ON receptor = e.gene JOIN own o ON o.gene = ligand),
 t AS (SELECT source AS ligand, target AS tf, row_number() OVER (PARTITION BY source ORDER BY o.value DESC, target DESC) AS k FROM network JOIN own o ON o.gene = target WHERE edge_type = 'nichenet')""") + "SELECT j, f.ligand, receptor, round(sqrt(l * r), 6) AS score, coalesce(tf, '') AS tf FROM f LEFT JOIN t ON t.ligand = f.ligand AND t.k = 1 WHERE f.k <= 48",
-    "moran_i": with_(CELLS, GENES, DENSE, KNN6, """z AS (SELECT gene, cell_idx, value - avg(value) OVER (PARTITION BY gene) AS z FROM dense WHERE gene < 'G10'),
+    "moran_i": with_(CELLS, GENES, DENSE, KNN6, """z AS (SELECT gene, cell_idx, value - avg(value) OVER (PARTITION BY gene) AS z FROM dense),
 n AS (SELECT gene, count(*) AS n, sum(z * z) AS zz FROM z GROUP BY gene), s AS (SELECT a.gene, count(*) AS s0, sum(a.z * b.z) AS c FROM sym JOIN z a ON a.cell_idx = i JOIN z b ON b.cell_idx = j AND b.gene = a.gene GROUP BY a.gene)""") + "SELECT gene, round(CASE WHEN zz > 0 THEN n::DOUBLE / s0 * c / zz ELSE 0 END, 6) AS moran_i FROM n JOIN s USING (gene)",
     "pearson_edges": with_(*CORR) + "SELECT i, j, round(corr, 6) AS corr FROM corr",
     "transition_probs": with_(*PROBS) + "SELECT i, j, round(p, 6) AS p FROM trans",
@@ -154,9 +154,9 @@ nd AS (SELECT ix, iy, x0 + ix * (wx / (nx - 1)) AS gx, y0 + iy * (wy / (ny - 1))
 fd AS (SELECT ix, iy, any_value(gx) AS gx, any_value(gy) AS gy, coalesce(sum(vx), 0) AS u, coalesce(sum(vy), 0) AS v FROM nd LEFT JOIN vec ON abs(umap_x - gx) <= tx AND abs(umap_y - gy) <= ty GROUP BY ix, iy),
 mm AS (SELECT CASE WHEN max(greatest(abs(u), abs(v))) > 1e-36 THEN 0.85 / max(greatest(abs(u), abs(v))) ELSE 1 END AS f FROM fd)""") + "SELECT ix, iy, round(gx, 6) AS gx, round(gy, 6) AS gy, round(u * f, 6) AS u, round(v * f, 6) AS v FROM fd, mm",
     "spatial_map_cells": with_(CELLS, "b AS (SELECT min(x) AS x0, max(y) AS y1, greatest(max(x) - min(x), 1e-6) / 8 AS w, greatest(max(y) - min(y), 1e-6) / 8 AS h FROM cells)") + "SELECT cell_idx, cluster::BIGINT AS cluster, i, j, round(1 / greatest(sqrt(pow(x - (x0 + (j + 0.5) * w), 2) + pow(y - (y1 - (i + 0.5) * h), 2)), 1e-6), 6) AS value FROM cells, b, range(8) p(i), range(8) q(j)",
-    "design_matrix": with_(*DESIGN) + "SELECT cell_idx, term_type, a, coalesce(b, '') AS b, round(x, 6) AS x FROM design WHERE target = 'G08'",
-    "predict_lasso": with_(*PREDICTED) + "SELECT cell_idx, round(y, 6) AS y, round(y_hat, 6) AS y_hat FROM predicted",
-    "fit_quality": with_(*PREDICTED) + "SELECT 'G08' AS target, cluster::BIGINT AS cluster, count(*) AS n, round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(CASE WHEN var_pop(y) * count(*) > 1e-15 THEN 1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(*)) ELSE 0 END, 5) AS r2 FROM predicted GROUP BY cluster",
+    "design_matrix": with_(*DESIGN) + "SELECT target, cell_idx, term_type, a, coalesce(b, '') AS b, round(x, 6) AS x FROM design",
+    "predict_lasso": with_(*PREDICTED) + "SELECT target, cell_idx, round(y, 6) AS y, round(y_hat, 6) AS y_hat FROM predicted",
+    "fit_quality": with_(*PREDICTED) + "SELECT target, cluster::BIGINT AS cluster, count(*) AS n, round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(CASE WHEN var_pop(y) * count(*) > 1e-15 THEN 1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(*)) ELSE 0 END, 5) AS r2 FROM predicted GROUP BY target, cluster",
     "gate_decision": with_(GENES, GATE) + "SELECT gene, reason IN ('allow list', 'pattern') AS use, reason, round(score, 6) AS rank_score FROM decided",
     "rank_top_k": with_(GENES, GATE) + "SELECT gene, round(score, 6) AS rank_score FROM decided WHERE reason IN ('allow list', 'pattern') ORDER BY rank_score DESC, gene LIMIT 7",
     "scaled_by_cluster": with_(CELLS, GENES, DENSE) + "SELECT cell_idx, round(CASE WHEN lo = 0 AND hi = 0 THEN NULL WHEN hi - lo < 1e-12 THEN 0.5 ELSE (value - lo) / (hi - lo) END, 6) AS scaled FROM (SELECT cell_idx, value, min(value) OVER (PARTITION BY cluster) AS lo, max(value) OVER (PARTITION BY cluster) AS hi FROM dense JOIN cells USING (cell_idx) WHERE gene = 'G05')",
