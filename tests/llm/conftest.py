@@ -19,7 +19,7 @@ def edge_rows():
 def edge(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and columns whose names the operators use."""
     df = spark.createDataFrame(edge_rows(), SCHEMA)
-    for name in ("size", "_key", "id", "row", "kept", "shard", "_size", "word", "n", "_row", "score", "label"):
+    for name in ("size", "_key", "id", "row", "kept", "shard", "_size", "word", "n", "_row", "score", "label", "_kept", "a.b", "pick", "_pick", "_mid", "file", "_id", "_src"):
         df = df.withColumn(name, F.lit(name))
     return df
 

@@ -36,3 +36,21 @@ def test_empty_table(spark, sf_dir, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_run_on_edge_cases(spark, sf_dir, edge, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and clashing names, through run() itself."""
+    edge.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((str(r["doc_id"]), r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+        assert docs.columns == edge.columns
+    assert got == sorted((str(r["doc_id"]), r["ids_sha256"]) for r in corpus_pipeline.encode(spark, docs, str(tmp_path)).collect())
+
+
+def test_run_on_an_empty_table(spark, sf_dir, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

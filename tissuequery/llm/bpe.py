@@ -8,11 +8,12 @@ offset table.
 
 Words repeat, so each Python worker keeps the codes of the pieces between white space that it has met, up to a bound.
 
-Letters and numbers are those of the regex module's Unicode version; the tokenizers library's may be a little older, so
-characters that the newest version added may be split otherwise.
+The library's three Unicode tables are of different versions (letters and numbers 16, case 17, composition 9); the code
+points in which the modules used here know more, or less, are stated below as ranges.
 
-Defined results: a null text is an empty text: no tokens, the hash of nothing; rows that repeat stay rows; an empty
-table gives an empty result. Other columns, of any name, are ignored.
+Defined results: a null text is an empty text: no tokens, the hash of nothing; a null id stays null; rows that repeat, or
+tie in id or text, stay rows of their own; a text of any length is encoded whole, in memory of its own size times a few,
+and batches are bounded by bytes; an empty table gives an empty result. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,42 @@ by_value(__name__)
 KEEP_PIECES, KEEP_WORDS, KEEP_PAIRS = 60_000, 150_000, 150_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
+
+# Where the installed modules' Unicode tables differ from the tokenizers library's, as ranges of code points.
+#: Letters and numbers that Unicode has only after version 16; the library takes them for other characters.
+LATER_LETTERS = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE
+1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Marks that Unicode has only after version 9, and the second half of a later pair: to the library they are plain
+#: characters, so nothing is composed or reordered across them.
+LATER_MARKS = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50
+10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42
+16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+#: Capitals that the library knows and Python doesn't, each with its distance to the small letter.
+LATER_CAPITALS = {"1C89": 1, "A7CB": 0x264 - 0xA7CB, "A7CC": 1, "A7CE": 1, "A7D2": 1, "A7D4": 1, "A7DA": 1, "A7DC": 0x19B - 0xA7DC, "10D50-10D65": 0x20, "16EA0-16EB8": 0x1B}
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in text.split())]
+
+
+def _class(text: str) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(text))
+
+
+_LATER = regex.compile(f"[{_class(LATER_LETTERS)}{_class(LATER_NUMBERS)}]")
+_MARKS = regex.compile(f"([{_class(LATER_MARKS)}])")
+_CAPITALS = {c: c + step for r, step in LATER_CAPITALS.items() for a, b in _ranges(r) for c in range(a, b + 1)}
+
+
+def composed(text: str) -> str:
+    """NFC, by parts where the text holds marks that aren't marks to the library."""
+    if _MARKS.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARKS.split(text)))
+
 _END = "\U000f0000"  # stands for the end of a word in the search alphabet
 
 
@@ -76,6 +113,10 @@ class WordBPE:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # \s of the tokenizer's engine, spelled out
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
+        # the same for words with letters or numbers of later versions
+        letters, numbers = _class(LATER_LETTERS), _class(LATER_NUMBERS)
+        exact = pattern.replace(r"[\p{L}]", rf"(?:(?![{letters}])\p{{L}})").replace(r"[\p{N}]", rf"(?:(?![{numbers}])\p{{N}})")
+        self.exact = regex.compile(exact.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{letters}{numbers}]|[^{_SPACE}\p{{L}}\p{{N}}])"))
         self.ids = vocab
         self.rank = {(a, b): i for i, (a, b) in enumerate(map(tuple, model["merges"]))}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -192,7 +233,9 @@ class WordBPE:
     def piece(self, piece: str) -> tuple[bytes, bytes]:
         """The ids of a piece between white space, packed, and their decoding."""
         packed, words = [], self.words
-        for w in [piece] if piece.isascii() and piece.isalpha() else self.pattern.findall(piece):  # letters alone are one word
+        ascii_ = piece.isascii()
+        pattern = self.pattern if ascii_ or _LATER.search(piece) is None else self.exact
+        for w in [piece] if ascii_ and piece.isalpha() else pattern.findall(piece):  # letters alone are one word
             code = words.young.get(w) or words.get(w)
             if code is None:
                 ids = self.word(w)
@@ -206,9 +249,8 @@ class WordBPE:
     def plain(self, text: str) -> list[tuple[bytes, bytes]]:
         """Codes of a text without special tokens, by its pieces between white space."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
             # lower case by character: no final sigma
-            text = text.replace("Σ", "σ")
+            text = composed(text).replace("Σ", "σ").translate(_CAPITALS)
         text = text.lower()
         found = regex.split(f"[{_SPACE}]+", text) if _ODD.search(text) else text.split()
         known, out = self.known, []

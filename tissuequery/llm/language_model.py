@@ -1,25 +1,30 @@
 """Operator 3: language-model scoring with a log-bilinear neural model.
 
-Counting: words of all training texts are counted (per task, then by Spark). Classes: the most frequent words are a
-class each; every other word belongs to a class by the hash of its last bytes, so endings, which tell languages and
-kinds of text apart, are seen by the model; the end of a text is a class too.
+Counting: words of all training texts are counted (per task, then by Spark). Classes: the most frequent words (OWN_CLASS
+at most) are a class each; every other word belongs to a class by the hash of its last bytes, so endings, which tell
+languages and kinds of text apart, are seen by the model; the end of a text is a class too. Every text becomes a line of
+classes once; training and scoring read the lines.
 
 Model: the representation of the next class is the sum of two vectors, one for each of the two classes before; its
 score is the inner product with the class's own vector plus a bias. It is trained by noise-contrastive estimation in
-numpy, in all training partitions at once, over all training tokens, from the unigram model on; the partitions' weights
-are averaged row by row, each weighted by how often the partition saw the row (iterative parameter mixing).
+numpy, over all training tokens, from the unigram model on. The lines are dealt by row to slices of about SLICE_TOKENS
+tokens, whatever the table's partitions, so a slice's model has seen enough; the slices' weights are averaged row by row,
+each weighted by how often the slice saw the row, and the next of ROUNDS rounds goes on from the average (iterative
+parameter mixing, the squares of gradients that set each row's step included).
 
-Scoring: since exp(a + b) = exp(a) exp(b), the normalisers of all contexts are one matrix product; token
-log-probabilities are look-ups of scores and normalisers, so they are normalised over all classes. Within a class of
-several words a word has (c + 1) / (sum over the class's training words of (c + 1), plus 1 for all unknown ones), so
-the probabilities over known words and one unknown word per class add up to 1.
+Scoring: since exp(a + b) = exp(a) exp(b), the normalisers of all contexts are one matrix product, made by blocks; token
+log-probabilities are inner products less normalisers, so they are normalised over all classes. Within a class of several
+words a word has (c + 1) / (sum over the class's training words of (c + 1), plus 1 for all unknown ones), so the
+probabilities over known words and one unknown word per class add up to 1.
 
-Frequent words' counts (DICTIONARY words at most) are broadcast; the other words of every text go through a join with
-the counts, so no table that grows with the corpus is held in one place.
+Frequent words' counts (DICTIONARY words at most, none longer than WORD_BYTES) are broadcast; the other words of every
+text go through a join with the counts, so no table that grows with the corpus is held in one place.
 
 Defined results: a null text is an empty text, whose only token is the end; a null id counts as the empty text when the
-training rows are chosen; rows that repeat are scored, and learned from, each; without training rows all counts are 0
-and base scores 0; an empty table gives an empty result. Other columns, of any name, are ignored.
+training rows are chosen; rows that repeat are scored, and learned from, each; words that tie in count are taken into
+the dictionary by hash, which changes no score but by rounding; a text of any length is one line (two bytes a token);
+without training rows all counts are 0 and base scores 0; an empty table gives an empty result. Other columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +38,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, by_value, read, spool, worker_tables
+from ._common import Shipped, bound_batches, by_value, read, spool
 
 by_value(__name__)
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-#: At most so many words' counts are broadcast.
-DICTIONARY = 150_000
-OWN_CLASS, ENDINGS, ENDING_BYTES = 1024, 512, 3
-DIMS, NOISE, BATCH, RATE = 16, 32, 1024, 0.1
+#: At most so many words' counts are broadcast, of words up to so many bytes.
+DICTIONARY, WORD_BYTES = 150_000, 64
+OWN_CLASS, ENDINGS, ENDING_BYTES = 4096, 512, 3
+DIMS, NOISE, BATCH, RATE = 32, 96, 512, 0.1
+SLICE_TOKENS, ROUNDS = 2_000_000, 2
+NAMES = ("one", "two", "out", "bias")
 END = b""  # no word is empty
 
 
@@ -59,10 +66,13 @@ def word_counts(train: DataFrame) -> DataFrame:
         counter: Counter = Counter()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
+                long = 0
                 for t in batch.slice(start, 256).column("text").cast(pa.binary()).to_pylist():
-                    counter.update((t or b"").lower().split())
+                    words = (t or b"").lower().split()
+                    counter.update(words)
                     counter[END] += 1
-                if len(counter) > 400_000:
+                    long += sum(map(len, words)) > 1 << 20
+                if len(counter) > 400_000 or long:  # long texts may hold long words
                     yield out(counter)
                     counter = Counter()
         if counter:
@@ -80,61 +90,63 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, ending_counts: np.ndarray, ending_mass: np.ndarray, end: int, tokens: int, kinds: int):
         own = min(OWN_CLASS, len(words))
-        self.words, self.end, self.tokens, self.kinds = words, end, tokens, kinds
-        self.classes = OWN_CLASS + ENDINGS + 1
+        self.words, self.end, self.tokens, self.kinds, self.own = words, end, tokens, kinds, own
+        self.classes = own + ENDINGS + 1
         self.log = np.log10(counts + 1.0)
-        self.cls = np.array([i if i < own else OWN_CLASS + ending(w) for i, w in enumerate(words)], np.int64)
+        self.cls = np.array([i if i < own else own + ending(w) for i, w in enumerate(words)], np.int64)
         for w, c in zip(words[:own], counts[:own].tolist()):  # these have classes of their own
             ending_counts[ending(w)] -= c
             ending_mass[ending(w)] -= c + 1
         self.mass = np.log10(np.maximum(ending_mass, 0) + 1.0)  # with 1 for unknown words
-        q = np.concatenate([counts[:own], np.zeros(OWN_CLASS - own), np.maximum(ending_counts, 0), [end]]) + 0.5
-        q[own:OWN_CLASS] = 1e-9  # classes without a word
+        q = np.concatenate([counts[:own], np.maximum(ending_counts, 0), [end]]) + 0.5
         self.q = q / q.sum()
-
-    @property
-    def index(self) -> dict[bytes, int]:
-        cache = worker_tables("language")
-        key = ("vocabulary", self.tokens, self.kinds, len(self.words), hash(tuple(self.words[:50])))
-        if key not in cache:
-            cache[key] = {w: i for i, w in enumerate(self.words)}
-        return cache[key]
+        self.index: dict[bytes, int] = {}
 
     def classed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Dictionary places (-1 outside) and classes of a text's words."""
+        if len(self.index) < len(self.words):
+            self.index = {w: i for i, w in enumerate(self.words)}
         at = np.fromiter(map(self.index.get, words, [-1] * len(words)), np.int64, len(words))
         cls = self.cls[at] if len(self.cls) else np.empty(len(words), np.int64)
         for i in np.flatnonzero(at < 0).tolist():
-            cls[i] = OWN_CLASS + ending(words[i])
+            cls[i] = self.own + ending(words[i])
         return at, cls
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, and the words outside its dictionary with their counts."""
-    level = F.floor(F.log2("n") * 16).cast("int")
+    """The vocabulary, and the words outside its dictionary with their counts. The dictionary takes words by levels of
+    their counts, and of the level that doesn't fit whole a part by hash."""
     words = counts.where(F.col("word") != F.lit(END))
+    words = words.withColumn("level", F.floor(F.log2("n") * 16).cast("int")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(1024)).cast("int"))
+    short = F.octet_length("word") <= WORD_BYTES
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    levels = sorted(((r["level"], r["many"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("many")).collect()), reverse=True)  # a thousand rows at most
-    least, room = 1 << 20, DICTIONARY
+    levels = sorted(((r["level"], r["many"]) for r in words.where(short).groupBy("level").agg(F.count("*").alias("many")).collect()), reverse=True)  # a thousand rows at most
+    least, room, until = 1 << 20, DICTIONARY, 0
     for at, many in levels:
-        room -= many
-        if room < 0:
+        if many > room:
+            parts = {r["part"]: r["many"] for r in words.where(short & (F.col("level") == at)).groupBy("part").agg(F.count("*").alias("many")).collect()}  # 1024 rows
+            while until < 1024 and parts.get(until, 0) <= room:
+                room -= parts.get(until, 0)
+                until += 1
             break
-        least = at
-    top = words.where(level >= least).toArrow()  # DICTIONARY rows at most
+        least, room = at, room - many
+    inside = short & ((F.col("level") >= least) | ((F.col("level") == (at if levels else 0)) & (F.col("part") < until)))
+    top = words.where(inside).select("word", "n").toArrow()  # DICTIONARY rows at most
     n, w = top["n"].to_numpy(), top["word"].to_pylist()
     order = sorted(range(len(w)), key=lambda i: (-n[i], w[i]))
     by_ending = words.groupBy((F.crc32(F.substring("word", -ENDING_BYTES, ENDING_BYTES)) % ENDINGS).alias("e")).agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("m")).collect()
     c, m = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in by_ending:
         c[r["e"]], m[r["e"]] = r["n"], r["m"]
-    return Vocabulary([w[i] for i in order], n[order].astype(np.float64), c, m, totals[2], totals[0], totals[1]), words.where(level < least)
+    return Vocabulary([w[i] for i in order], n[order].astype(np.float64), c, m, totals[2], totals[0], totals[1]), words.where(~inside).select("word", "n")
 
 
 def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     k = v.classes
-    return {"one": rng.normal(0, 0.3, (k + 1, DIMS)), "two": rng.normal(0, 0.3, (k + 1, DIMS)), "out": rng.normal(0, 0.1, (k, DIMS)), "bias": np.log(v.q)}
+    w = {"one": rng.normal(0, 0.3, (k + 1, DIMS)), "two": rng.normal(0, 0.3, (k + 1, DIMS)), "out": rng.normal(0, 0.1, (k, DIMS)), "bias": np.log(v.q)[:, None]}
+    w |= {f"{n}_sum": np.full(x.shape, 1e-2) for n, x in w.items()}  # squares of gradients so far
+    return {n: x.astype(np.float32) for n, x in w.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,171 +154,206 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad over one partition's tokens."""
+    """Noise-contrastive estimation with Adagrad over one slice's tokens. Only the rows that a batch touches move."""
 
-    def __init__(self, weights: dict, q: np.ndarray, seed: int):
-        self.w = {k: x.copy() for k, x in weights.items()}
-        self.sum = {k: np.full(x.shape, 1e-2) for k, x in weights.items()}
-        self.seen = {k: np.zeros(len(x)) for k, x in weights.items()}
-        self.edges, self.logq = np.cumsum(q), np.log(q) + np.log(NOISE)
+    def __init__(self, weights: dict, q: np.ndarray, seed):
+        self.w = {k: weights[k].copy() for k in NAMES}
+        self.sum = {k: weights[f"{k}_sum"].copy() for k in NAMES}
+        self.seen = {k: np.zeros(len(weights[k])) for k in NAMES}
+        self.edges, self.logq = np.cumsum(q), (np.log(q) + np.log(NOISE)).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.wait: list[np.ndarray] = []
-        self.waiting = 0
-
-    def add(self, triples: np.ndarray) -> None:
-        self.wait.append(triples)
-        self.waiting += len(triples)
-        if self.waiting >= 16 * BATCH:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.waiting:
-            rows = np.concatenate(self.wait)
-            rows = rows[self.rng.permutation(len(rows))]
-            for start in range(0, len(rows), BATCH):
-                self.step(*rows[start : start + BATCH].T)
-            self.wait, self.waiting = [], 0
-
-    def _rows(self, name: str, at: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        shape = self.w[name].shape
-        self.seen[name] += np.bincount(at, minlength=shape[0])
-        if gradient.ndim == 1:
-            return np.bincount(at, gradient, shape[0])
-        flat = (at[:, None] * shape[1] + np.arange(shape[1])).ravel()
-        return np.bincount(flat, gradient.ravel(), shape[0] * shape[1]).reshape(shape)
+
+    def run(self, rows: np.ndarray) -> None:
+        order = self.rng.permutation(len(rows))
+        for start in range(0, len(rows), BATCH):
+            self.step(*rows[order[start : start + BATCH]].T)
+
+    def _move(self, name: str, at: np.ndarray, gradient: np.ndarray, size: float, counted: int) -> None:
+        order = at.argsort(kind="stable")
+        sorted_ = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        rows = sorted_[starts]
+        g = np.add.reduceat(gradient[order], starts, axis=0) / size
+        self.seen[name] += np.bincount(at[:counted], minlength=len(self.w[name]))
+        past = self.sum[name][rows] + g * g
+        self.sum[name][rows] = past
+        self.w[name][rows] -= RATE * g / np.sqrt(past)
 
     def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
-        w = self.w
+        w, n = self.w, len(target)
         hidden = w["one"][one] + w["two"][two]
         noise = np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1])
-        own, others = w["out"][target], w["out"][noise]
-        true = _sigmoid((hidden * own).sum(1) + w["bias"][target] - self.logq[target]) - 1
-        false = _sigmoid(hidden @ others.T + w["bias"][noise] - self.logq[noise])
+        own, others, bias = w["out"][target], w["out"][noise], w["bias"][:, 0]
+        true = _sigmoid((hidden * own).sum(1) + bias[target] - self.logq[target]) - 1
+        false = _sigmoid(hidden @ others.T + bias[noise] - self.logq[noise])
         to_hidden = true[:, None] * own + false @ others
-        gradients = {"one": self._rows("one", one, to_hidden), "two": self._rows("two", two, to_hidden), "out": self._rows("out", target, true[:, None] * hidden), "bias": self._rows("bias", target, true)}
-        np.add.at(gradients["out"], noise, false.T @ hidden)
-        np.add.at(gradients["bias"], noise, false.sum(0))
-        for name, g in gradients.items():
-            g /= len(target) / 32
-            self.sum[name] += g * g
-            w[name] -= RATE * g / np.sqrt(self.sum[name])
-
-
-def triples(classes: list[np.ndarray], v: Vocabulary) -> np.ndarray:
-    """(class two before, class before, class) of every token, ends included; before a text stands the start."""
-    begin, out = v.classes, []
+        both, size = np.concatenate([target, noise]), n / 32
+        to_out = np.concatenate([true[:, None] * hidden, false.T @ hidden])
+        to_bias = np.concatenate([true, false.sum(0)])[:, None]
+        self._move("one", one, to_hidden, size, n)
+        self._move("two", two, to_hidden, size, n)
+        self._move("out", both, to_out, size, n)
+        self._move("bias", both, to_bias, size, n)
+
+
+def triples(classes: list[np.ndarray], k: int) -> np.ndarray:
+    """(class two before, class before, class) of every token, ends included; before a text stands the start. k: the
+    number of classes, of which the end is the last."""
+    out = []
     for c in classes:
-        line = np.concatenate([[begin, begin], c, [v.classes - 1]])
+        line = np.concatenate([[k, k], c, [k - 1]])
         out.append(np.stack([line[:-2], line[1:-1], line[2:]], 1))
-    return np.concatenate(out)
-
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
 
-NAMES = ("one", "two", "out", "bias")
 
-
-def train(texts: DataFrame, v: Vocabulary, weights: dict) -> dict:
-    """One round of parameter mixing over all training texts."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((v, weights))
-    columns = [f"v{i}" for i in range(DIMS)]
+def lines(docs: DataFrame, shipped: Shipped) -> DataFrame:
+    """Per text a row (row, id, n, known, base, within, classes) from the dictionary, and a row (row, n, word) for each of
+    its words outside the dictionary. docs: id, text."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        v, weights = shared.value
-        own = Trainer(weights, v.q, TaskContext.get().partitionId())
+        v = shipped.value
+        first, made = TaskContext.get().partitionId() << 40, 0
+        names = ["row", "id", "n", "known", "base", "within", "classes", "word"]
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128).column("text").cast(pa.binary()).to_pylist()
-                own.add(triples([v.classed((t or b"").lower().split())[1] for t in part], v))
-        own.flush()
+                part = batch.slice(start, 128)
+                facts, rare = [], []
+                for t in part.column("text").cast(pa.binary()).to_pylist():
+                    words = (t or b"").lower().split()
+                    at, cls = v.classed(words)
+                    known = at >= 0
+                    logs = float(v.log[at[known]].sum()) + float(np.log10(v.end + 1.0))
+                    classed = cls >= v.own
+                    within = float(v.log[at[known & classed]].sum()) - float(v.mass[cls[classed] - v.own].sum())
+                    facts.append((first + made, len(words) + 1, int(known.sum()) + int(v.end > 0), logs, within, cls.astype("<u2").tobytes()))
+                    rare += [(first + made, w, n) for w, n in Counter([words[i] for i in np.flatnonzero(~known).tolist()]).items()]
+                    made += 1
+                r, n, k, base, within, cls = zip(*facts)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), part.column("id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(cls, pa.binary()), pa.nulls(len(r), pa.binary())], names=names)
+                if rare:
+                    r, w, n = zip(*rare)
+                    none = pa.nulls(len(r), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), part.schema.field("id").type), pa.array(n, pa.int64()), pa.nulls(len(r), pa.int64()), none, none, pa.nulls(len(r), pa.binary()), pa.array(w, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, f"row long, id {kind}, n long, known long, base double, within double, classes binary, word binary")
+
+
+def train(learn: DataFrame, tokens: int, q: np.ndarray, weights: dict, round_: int = 0) -> dict:
+    """One round of parameter mixing. learn: row, classes, of all training texts."""
+    spark = learn.sparkSession
+    shared, k = Shipped(spark, (weights, q)), len(q)
+    slices = max(1, round(tokens / SLICE_TOKENS))
+    columns = [f"v{i}" for i in range(2 * DIMS)]
+    dealt = learn.select(F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(slices)).cast("int").alias("slice"), "row", "classes")
+
+    def run(own: pa.Table) -> pa.Table:
+        weights, q = shared.value
+        own = own.sort_by("row")
+        trainer = Trainer(weights, q, [own["slice"][0].as_py(), round_])
+        trainer.run(triples([np.frombuffer(c, "<u2").astype(np.int32) for c in own["classes"].to_pylist()], k))
+        parts = []
         for i, name in enumerate(NAMES):
-            at = np.flatnonzero(own.seen[name])
+            at = np.flatnonzero(trainer.seen[name])
             if len(at):
-                seen = own.seen[name][at]
-                x = own.w[name][at].reshape(len(at), -1) * seen[:, None]
-                x = np.hstack([x, np.zeros((len(at), DIMS - x.shape[1]))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(seen), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["part", "row", "seen", *columns])
-
-    rows = texts.mapInArrow(run, "part int, row long, seen double, " + ", ".join(f"{c} double" for c in columns))
+                seen = trainer.seen[name][at]
+                x = np.zeros((len(at), 2 * DIMS))
+                width = trainer.w[name].shape[1]
+                x[:, :width], x[:, DIMS : DIMS + width] = trainer.w[name][at], trainer.sum[name][at]
+                x *= seen[:, None]
+                parts.append(pa.table([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(seen), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["part", "row", "seen", *columns]))
+        return pa.concat_tables(parts)
+
+    rows = dealt.groupBy("slice").applyInArrow(run, "part int, row long, seen double, " + ", ".join(f"{c} double" for c in columns))
     mixed = rows.groupBy("part", "row").agg(F.sum("seen").alias("seen"), *(F.sum(c).alias(c) for c in columns)).toPandas()  # a row for each of the model's rows
-    out = {k: x.copy() for k, x in weights.items()}
+    out = {n: x.copy() for n, x in weights.items()}
     for i, name in enumerate(NAMES):
         own = mixed[mixed["part"] == i]
         x = own[columns].to_numpy() / own[["seen"]].to_numpy()
-        out[name][own["row"].to_numpy()] = x[:, 0] if name == "bias" else x
+        at, width = own["row"].to_numpy(), out[name].shape[1]
+        out[name][at], out[f"{name}_sum"][at] = x[:, :width], x[:, DIMS : DIMS + width]
+    return out
+
+
+def normalisers(weights: dict, block: int = 512) -> np.ndarray:
+    """The log normaliser of every context (class two before, class before): one matrix product, by blocks of rows."""
+    one = weights["one"] @ weights["out"].T
+    top1 = one.max(1, keepdims=True)
+    one -= top1
+    np.exp(one, out=one)
+    one *= np.exp(weights["bias"][:, 0])
+    out = np.empty((len(weights["two"]), len(one)), np.float32)
+    for start in range(0, len(out), block):
+        two = weights["two"][start : start + block] @ weights["out"].T
+        top2 = two.max(1, keepdims=True)
+        out[start : start + block] = np.log(np.exp(two - top2) @ one.T) + top2 + top1.T
     return out
 
 
-def tables(v: Vocabulary, weights: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores by the class before and by the one before that, and the log normaliser of each context: one product."""
-    one = (weights["one"] @ weights["out"].T).astype(np.float32)
-    two = (weights["two"] @ weights["out"].T).astype(np.float32)
-    top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
-    z = np.exp(two - top2) @ (np.exp(one - top1) * np.exp(weights["bias"]).astype(np.float32)).T
-    return one + weights["bias"].astype(np.float32), two, np.log(z) + top2 + top1.T
+def log_probabilities(weights: dict, norm: np.ndarray, rows: np.ndarray, step: int = 8192) -> float:
+    """The sum of the natural logarithms of the class probabilities of (class two before, class before, class)."""
+    total = 0.0
+    for start in range(0, len(rows), step):
+        a, b, c = rows[start : start + step].T
+        own = np.einsum("ij,ij->i", weights["one"][b] + weights["two"][a], weights["out"][c]) + weights["bias"][c, 0] - norm[a, b]
+        total += float(own.sum(dtype=np.float64))
+    return total
 
 
-def _scorer(v: Vocabulary, weights: dict):
-    cache = worker_tables("language")
-    key = ("tables", float(weights["out"].sum()), float(weights["one"].sum()), v.tokens)
-    if cache.get("tables", (None,))[0] != key:
-        cache["tables"] = (key, tables(v, weights))
-    return cache["tables"][1]
+class Scorer:
+    """The model with its normalisers, which a worker makes once."""
 
+    def __init__(self, weights: dict):
+        self.weights, self.norm = {k: weights[k] for k in NAMES}, None
 
-def local_scores(docs: DataFrame, v: Vocabulary, weights: dict) -> DataFrame:
-    """Per text a row (row, id, n_tokens, n_known, base, score) from the dictionary and the model, and a row
-    (row, word, tf) for each of its words outside the dictionary."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, weights))
-    kind = docs.schema["id"].dataType.simpleString()
+    def score(self, classes: np.ndarray) -> float:
+        if self.norm is None:
+            self.norm = normalisers(self.weights)
+        k = len(self.weights["out"])
+        return log_probabilities(self.weights, self.norm, triples([classes], k)) / np.log(10)
+
+
+def scored(texts: DataFrame, weights: dict) -> DataFrame:
+    """texts: row, id, n, known, base, within, classes. Instead of classes: model, the log10 probability of the line."""
+    shipped = Shipped(texts.sparkSession, Scorer(weights))
+    kept = ["row", "id", "n", "known", "base", "within"]
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
-        v, weights = shared.value
-        one, two, norm = _scorer(v, weights)
-        first, made = TaskContext.get().partitionId() << 40, 0
+        own = shipped.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                facts, rare = [], []
-                for t in part.column("text").cast(pa.binary()).to_pylist():
-                    words = (t or b"").lower().split()
-                    at, cls = v.classed(words)
-                    a, b, c = triples([cls], v).T
-                    known = at >= 0
-                    logs = float(v.log[at[known]].sum()) + float(np.log10(v.end + 1.0))
-                    classed = cls >= OWN_CLASS
-                    within = float(v.log[at[known & classed]].sum()) - float(v.mass[cls[classed] - OWN_CLASS].sum())
-                    model = float((one[b, c].astype(np.float64) + two[a, c] - norm[a, b]).sum()) / np.log(10)
-                    facts.append((first + made, len(words) + 1, int(known.sum()) + int(v.end > 0), logs, model + within))
-                    rare += [(first + made, w, n) for w, n in Counter([words[i] for i in np.flatnonzero(~known).tolist()]).items()]
-                    made += 1
-                r, n, k, base, score = zip(*facts)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), part.column("id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.nulls(len(r), pa.binary())], names=["row", "id", "n", "known", "base", "score", "word"])
-                if rare:
-                    r, w, n = zip(*rare)
-                    empty = pa.nulls(len(r), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(len(r), part.schema.field("id").type), pa.array(n, pa.int64()), pa.nulls(len(r), pa.int64()), empty, empty, pa.array(w, pa.binary())], names=["row", "id", "n", "known", "base", "score", "word"])
+            got = [own.score(np.frombuffer(c, "<u2").astype(np.int64)) for c in batch.column("classes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.float64())], names=[*kept, "model"])
+
+    return texts.select(*kept, "classes").mapInArrow(run, f"row long, id {kind}, n long, known long, base double, within double, model double")
 
-    return docs.mapInArrow(run, f"row long, id {kind}, n long, known long, base double, score double, word binary")
 
+def fitted(facts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
+    """The trained weights. facts: lines of all texts, spooled."""
+    learn = facts.where(F.col("word").isNull() & (fold(F.col("id")) != HELD_OUT_FOLD)).select("row", "classes")
+    weights = start_weights(v)
+    for k in range(rounds):
+        weights = train(learn, v.tokens, v.q, weights, k)
+    return weights
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row of docs: its id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     learn = narrow.where(fold(F.col("id")) != HELD_OUT_FOLD).select("text")
     v, others = vocabulary(spool(word_counts(learn), "counts"))
-    weights = start_weights(v)
-    for _ in range(rounds):
-        weights = train(learn, v, weights)
-    facts = spool(local_scores(narrow, v, weights), "facts")
+    facts = spool(lines(narrow, Shipped(spark, v)), "facts")
+    texts = spool(scored(facts.where(F.col("word").isNull()), fitted(facts, v, rounds)), "scores")
     rare = facts.where(F.col("word").isNotNull()).select("row", "word", F.col("n").alias("tf")).join(others.select("word", F.col("n").alias("c")), "word")
     rare = rare.groupBy("row").agg(F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("_logs"))
-    out = facts.where(F.col("word").isNull()).join(rare, "row", "left")
+    out = texts.join(rare, "row", "left")
     logs = F.coalesce("_logs", F.lit(0.0))
     whole = float(np.log10(v.tokens + v.kinds + 1))
     return out.select(
         F.col("id").alias(id_col), (fold(F.col("id")) == HELD_OUT_FOLD).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n") * whole).alias("base_score"), (F.col("score") + logs).alias("score"),
+        F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n") * whole).alias("base_score"), (F.col("model") + F.col("within") + logs).alias("score"),
     )
 
 

@@ -4,16 +4,18 @@ A document's distinct five-word shingles become 64-bit hashes. One permutation s
 places; signature coordinate k is the minimum of a second permutation pi at sigma(x) + k, so two permutations, one
 shifted round the circle, give all coordinates. Bands of ROWS coordinates are bucket keys.
 
-Links are confirmed on the full sets, without all pairs of a bucket: copies (equal word sequences) are one class from
-the start; then every class in a bucket is held against the bucket's pivot, its most central class; then only classes
-of different components that meet in a bucket are held against each other, and of these only the pairs that what they
-share with a common set leaves possible (see left_over). Pairs of one component need no look, since the result is the
-components. At similarity 0.75 all bands miss a pair with
-probability 2e-5.
-
-Defined results: a null or wordless text has no shingles and links with nothing; rows with a null id take no part and
-stay (component null, kept); rows that repeat an id are one node, whose smallest text stands for it; an empty table
-gives an empty result. Other columns, of any name, are ignored.
+A node is a text class: all rows with one word sequence (its 128-bit hash). Links are confirmed on the full sets,
+without all pairs of a bucket: every class in a bucket is held against the bucket's pivot, its most central class; then
+only classes of different components that meet in a bucket are held against each other, and of these only the pairs that
+what they share with a common set leaves possible (see left_over). Pairs of one component need no look, since the result
+is the components. Rows of one id are one document, so their classes are linked too. At similarity 0.75 all bands miss a
+pair with probability 2e-5.
+
+Defined results: a null or wordless text has no shingles and links with nothing, whatever its id; rows with a null id
+take part by their texts (their component is the smallest id reachable, or null where there is none, and then they are
+kept); rows that repeat an id with other texts are one document of several classes; repeated rows are copies; ties of
+pivots go by hash and change no result; a text of any length is one set, built in its task; an empty table gives an
+empty result. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import bound_batches, by_value, read, small_side, spool, worker_tables
+from ._common import bound_batches, by_value, read, row_of, small_side, spool, text_hash, unspool, worker_tables
 
 by_value(__name__)
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
+SPACES = " \t\n\x0b\x0c\r"
 PERCENT = 75
-#: Candidate ids up to this many are broadcast against the texts; more are joined by shuffle.
+#: Candidate classes up to this many are broadcast against the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one class in a task at most, about: a pivot with more has its set copied.
+PAIRS_PER_SALT = 4096
 #: Texts of a component from which its common set is taken; the results do not depend on it.
 CORE = 64
 WORD_CACHE = 200_000
@@ -104,14 +110,20 @@ def _worded(batch: pa.RecordBatch, step: int = 64, most: int = 1 << 19):
             start, size = i + 1, 0
 
 
-def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _cls(words: list[bytes]) -> bytes | None:
+    return hashlib.md5(b" ".join(words)).digest() if words else None
+
+
+def _pick(id_col: str, text_col: str, kind: T.DataType) -> Column:
+    """What tells a row from all but its equals: id (null apart) and text hash, without nulls inside."""
+    return F.struct(F.col(id_col).isNull().alias("nul"), F.coalesce(F.col(id_col), F.lit(0).cast(kind)).alias("id"), text_hash(F.col(text_col)).alias("raw"))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, cls (hash of the word sequence, null without words), n (shingles), keys (one a band)."""
-    narrow = _narrow(docs, id_col, text_col)
+    """id, pick (see _pick), cls (hash of the word sequence, null without words), n (shingles), keys (one a band)."""
+    bound_batches(docs.sparkSession)
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    narrow = docs.select(F.struct(F.col(id_col).alias("id"), _pick(id_col, text_col, kind).alias("pick")).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -122,32 +134,39 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                 if full:
                     for i, row in zip(full, signatures([sets[i] for i in full], bands, rows).view(np.int64)):
                         keys[i] = row
-                cls = [hashlib.md5(b" ".join(w)).digest() if w else None for w in texts]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "cls", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(_cls, texts), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "cls", "n", "keys"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, cls binary, n long, keys array<long>")
+    out = narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, cls binary, n long, keys array<long>")
+    return out.select("id.id", "id.pick", "cls", "n", "keys")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and its set of shingle hashes, for the ids asked for."""
-    narrow = _narrow(docs, id_col, text_col).join(small_side(ids, BROADCAST_IDS), "id", "left_semi")
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (the class) and its set of shingle hashes. wanted: pick, id: a row of each class asked for."""
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    narrow = docs.select(F.col(text_col).alias("text"), _pick(id_col, text_col, kind).alias("pick")).join(small_side(wanted, BROADCAST_IDS), "pick").select("id", "text")
 
     def run(batches):
         for batch in batches:
             for got, texts in _worded(batch):
-                sets = [shingles(w).view(np.int64) for w in texts]
+                # a text of another class with the same id and hash is dropped here
+                own = [i for i, (c, w) in enumerate(zip(got.to_pylist(), texts)) if _cls(w) == c]
+                sets = [shingles(texts[i]).view(np.int64) for i in own]
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([got, pa.array([b" ".join(w)[:64] for w in texts], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["id", "head", "members"])
+                yield pa.RecordBatch.from_arrays([got.take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["id", "members"])
 
-    out = narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, head binary, members array<long>")
-    return out.where(F.size("members") > 0)
+    # equal rows have equal sets: one is kept
+    return narrow.mapInArrow(run, "id binary, members array<long>").groupBy("id").agg(F.min("members").alias("members"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: joins by id and an intersection in the JVM."""
+    """The pairs (a, b) whose sets are similar enough: joins by class and an intersection in the JVM. A class that is b
+    in many pairs (a pivot) has its set copied, and its pairs dealt to the copies."""
+    many = spool(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("_copies")).where("_copies > 1"), "hot")
+    dealt = pairs.join(small_side(many), "b", "left").select("a", "b", F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("_copies"))).cast("int").alias("_salt"))
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("_a") + F.size("_b")).alias("n"), F.size(F.array_intersect("_a", "_b")).alias("both"))
+    right = sets.select(F.col("id").alias("b"), F.col("members").alias("_b")).join(small_side(many), "b", "left")
+    right = right.select("b", "_b", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("_salt"))
+    joined = dealt.join(left, "a").join(right, ["b", "_salt"]).select("a", "b", (F.size("_a") + F.size("_b")).alias("n"), F.size(F.array_intersect("_a", "_b")).alias("both"))
     return joined.where((100 + percent) * F.col("both") >= percent * F.col("n")).select("a", "b")
 
 
@@ -168,11 +187,16 @@ def beside(shared: DataFrame, so_far: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def common_sets(core: DataFrame, sets: DataFrame) -> DataFrame:
-    """head and what more than half of its core's texts have."""
+    """head, what more than half of its core's texts have (_b), and what at least two of them have, rarest first (_q)."""
     core = spool(core, "core")
     n = core.groupBy("head").agg(F.count("*").alias("n"))
     each = core.join(sets, "id").select("head", F.explode("members").alias("x")).groupBy("head", "x").agg(F.count("*").alias("k"))
-    return each.join(n, "head").where("2 * k > n").groupBy("head").agg(F.collect_list("x").alias("_b"))
+    seen = each.where("k > 1").join(n, "head").groupBy("head", "n").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s"))
+    whole = F.filter("s", lambda e: 2 * e["k"] > F.col("n"))
+    lone = core.join(n.where("n = 1"), "head").join(sets, "id").select("head", F.col("members").alias("_one"))  # a core of one text
+    out = n.join(seen.select("head", F.transform(whole, lambda e: e["x"]).alias("_b"), F.transform("s", lambda e: e["x"]).alias("_q")), "head", "left").join(lone, "head", "left")
+    none = F.array().cast("array<long>")
+    return out.select("head", F.coalesce("_one", "_b", none).alias("_b"), F.coalesce("_q", none).alias("_q"))
 
 
 def left_over(under: DataFrame, core: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,11 +205,15 @@ def left_over(under: DataFrame, core: DataFrame, sets: DataFrame, percent: int)
     P is the head's common set (any set would do; this one leaves least). Write A(u) for what text u has and P lacks.
     What u and m share is at most the smaller of their shares with P, plus what A(u) and A(m) share; and similar sets
     share percent of either. So either A(u) and A(m) share something (at least t(u) = percent of u less u's share with
-    P), and then they do so among their first |A| - t + 1 places in sorted order; or the shares with P alone must do,
-    which holds for few sizes of m. Both are equi-joins."""
+    P), and then they do so among their first |A| - t + 1 places in one order for the whole head; or the shares with P
+    alone must do, which holds for few sizes of m. Both are equi-joins. The order puts what many of the head's texts have
+    last (a passage that part of them share), so texts meet by what is rare."""
     common = spool(common_sets(core, sets), "common")
-    joined = under.join(sets.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a").join(common, "head", "left").withColumn("_b", F.coalesce("_b", F.array().cast("array<long>")))
-    joined = joined.select("a", "ca", "head", F.size("_a").alias("na"), F.size(F.array_intersect("_a", "_b")).alias("both"), F.sort_array(F.array_except("_a", "_b")).alias("own"))
+    joined = under.join(sets.select(F.col("id").alias("a"), F.col("members").alias("_a")), "a").join(common, "head", "left")
+    none = F.array().cast("array<long>")
+    joined = joined.withColumn("_b", F.coalesce("_b", none)).withColumn("_q", F.coalesce("_q", none))
+    own = F.array_except("_a", "_b")
+    joined = joined.select("a", "ca", "head", F.size("_a").alias("na"), F.size(F.array_intersect("_a", "_b")).alias("both"), F.concat(F.sort_array(F.array_except(own, "_q")), F.array_intersect("_q", own)).alias("own"))
     needed = F.greatest(F.lit(1), F.ceil(F.col("na") * percent / 100) - F.col("both"))
     group = joined.select("a", "ca", "head", "na", "both", F.slice("own", 1, F.greatest(F.size("own") - needed + 1, F.lit(0)).cast("int")).alias("extra"))
     group = spool(group, "group")
@@ -213,7 +241,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = spool(small, "edges")
+        last, edges = edges, spool(small, "edges")
+        unspool(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -229,39 +258,62 @@ def _near_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: its id, n_shingles, component_id, kept."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int) -> DataFrame:
+    """Per row of docs: id, pick, n, cls and the component's smallest class (node); without words cls and node are null."""
     sketch = spool(sketches(docs, id_col, text_col, bands, rows), "sketches")
-    some = sketch.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = spool(some.groupBy("cls").agg(F.min("id").alias("id")), "classes")
-    reps = some.join(classes, ["cls", "id"], "left_semi").dropDuplicates(["cls", "id"])
-    members = spool(reps.select("id", "n", F.explode("keys").alias("key")), "members")
+    some = sketch.where(F.col("cls").isNotNull())
+    # one row a class: its size, its bands, and one of its rows (the smallest)
+    classes = spool(some.groupBy("cls").agg(F.min("pick").alias("pick"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    members = spool(classes.select(F.col("cls").alias("id"), "n", F.explode("keys").alias("key")), "members")
     buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = spool(members.join(buckets, "key"), "shared")  # what has company in some bucket
+    unspool(members)
     # a bucket's pivot is its most central text, that which has most company in all its buckets: an edited copy is
     # nearer to it than to another edited copy
     rank = shared.groupBy("id").agg(F.sum("many").alias("company"))
-    shared = spool(shared.drop("many").join(rank, "id"), "ranked")
-    pivots = shared.groupBy("key").agg(F.max(F.struct("company", "id", "n")).alias("pivot"))
-    first = shared.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).where("a != b").distinct()
-    ids = spool(shared.select("id").distinct(), "ids")
-    sets = spool(full_sets(docs, ids, id_col, text_col).groupBy("id").agg(F.min(F.struct("head", "members")).alias("s")).select("id", "s.members"), "sets")
+    ranked = spool(shared.drop("many").join(rank, "id"), "ranked")
+    unspool(shared)
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "id", "n")).alias("pivot"))
+    first = spool(ranked.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).where("a != b").distinct(), "first")
+    wanted = spool(classes.select(F.col("cls").alias("id"), "pick").join(ranked.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = spool(full_sets(docs, wanted, id_col, text_col), "sets")
     links = spool(confirm(first, sets, percent), "links")
-    so_far = components(links)
-    more = spool(confirm(spool(left_over(*beside(shared, so_far), sets, percent), "second"), sets, percent), "more")
-    whole = components(links.union(more)) if more.count() else so_far
-    whole = spool(whole, "components")
+    so_far = spool(components(links), "so_far")
+    second = spool(left_over(*beside(ranked, so_far), sets, percent), "second")
+    more = spool(confirm(second, sets, percent), "more")
+    unspool(first, wanted, sets, ranked, second)
+    # classes of one id are one document's
+    ids = some.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("cls").alias("b"), F.max("cls").alias("_most")).where("b != _most").select("id", "b")
+    same = some.select("id", F.col("cls").alias("a")).join(ids, "id").where("a != b").select("a", "b").distinct()
+    extra = spool(more.union(same), "extra")
+    whole = spool(components(links.union(extra)), "components") if not extra.isEmpty() else so_far
+    out = sketch.drop("keys").join(whole.select(F.col("id").alias("cls"), "component"), "cls", "left")
+    out = spool(out.select("id", "pick", "n", "cls", F.coalesce("component", "cls").alias("node")), "nodes")
+    unspool(sketch, classes, links, more, extra, so_far, whole)
+    return out
+
 
-    named = sketch.join(classes.select("cls", F.col("id").alias("rep")), "cls", "left").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of docs: its id, n_shingles, component_id, kept."""
+    nodes = _classified(docs, id_col, text_col, percent, bands, rows)
+    least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("component"), F.count("*").alias("_rows"))
+    # a component of one row needs no join; the others' rows are few beside the corpus, and a hot one is pre-aggregated
+    named = nodes.join(least.select("node", "component"), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs' rows without near-duplicates: one row for each group, docs' columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs' rows without near-duplicates, with docs' columns: of each component the row of smallest id (null last), then
+    of smallest text hash, once; rows without words all stay."""
+    nodes = _classified(docs, id_col, text_col, percent, bands, rows)
+    winners = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("pick").alias("_pick")).select("_pick").union(nodes.where("node IS NULL").select("pick").distinct())
+    key = _pick(id_col, text_col, nodes.schema["id"].dataType)
+    packed = docs.select(key.alias("_pick"), row_of(docs).alias("_row"), (F.coalesce(F.translate(F.col(text_col), SPACES, ""), F.lit("")) == "").alias("_bare"))
+    kept = packed.join(winners, "_pick", "left_semi")
+    # equal rows (in id and text) of a component: one stays, any, as they differ in other columns at most
+    one = kept.where(~F.col("_bare")).groupBy("_pick").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").unionByName(kept.where("_bare").select("_row.*"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

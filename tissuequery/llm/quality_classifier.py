@@ -8,7 +8,10 @@ matrix product a block, and its nearest neighbours vote, weighted by similarity
 sampled row stands for.
 
 Defined results: a text without byte pairs (null, empty, one byte) has no neighbours and scores the share of label 1;
-without any labelled rows every score is 0.5; rows without a label, or with a null id, are never learned from; an empty
+without any labelled rows every score is 0.5; rows without a label, or with a null id, are never learned from; an id that
+has both labels teaches nothing; of an id's several texts the one of smallest hash (then the smallest) is learned from,
+so reruns agree; rows that repeat are scored each; neighbours that tie are interchangeable only if their labels are, so
+ties in similarity go by place in the sample, which is in order of ids; a text of any length is counted whole; an empty
 table gives an empty result. Other columns, of any name, are ignored.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, by_value, read
+from ._common import Shipped, bound_batches, by_value, read, row_of
 
 by_value(__name__)
 
@@ -90,6 +93,7 @@ def sampled_labels(labels: DataFrame, per_label: int, folds: int, held: int) ->
     """The sampled (doc_id, label) and the number of learnable rows of each label."""
     own = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other")).where("quality = _other").select("doc_id", "quality")
     sizes = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     rows = []
     for label in sorted(sizes):
@@ -104,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_labe
         return None
     wanted = spark.createDataFrame(rows, f"id {labels.schema['doc_id'].dataType.simpleString()}, label int")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
+    narrow = narrow.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_t")).select("id", "label", "_t.text")
 
     def run(batches):
         for batch in batches:
@@ -113,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_labe
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(places, pa.list_(pa.int32())), pa.array([f[p] for f, p in zip(found, places)], pa.list_(pa.float32()))], names=["id", "label", "places", "values"])
 
     got = narrow.mapInArrow(run, f"id {wanted.schema['id'].dataType.simpleString()}, label int, places array<int>, values array<float>")
-    got = got.where(F.size("places") > 0).dropDuplicates(["id"]).orderBy("id").toArrow()  # bounded by the sample
+    got = got.where(F.size("places") > 0).orderBy("id").toArrow()  # bounded by the sample
     if not got.num_rows:
         return None
     x = np.zeros((got.num_rows, WIDTH), np.float32)
@@ -130,7 +135,8 @@ def vote(x: np.ndarray, model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray
     z = _unit(_unit(x * model["idf"]) @ model["projection"])
     close = z @ model["vectors"].T
     k = min(neighbours, close.shape[1])
-    at = np.argpartition(-close, k - 1, axis=1)[:, :k]
+    least = np.partition(close, close.shape[1] - k, axis=1)[:, close.shape[1] - k, None]
+    at = np.argsort(np.where(close > least, 0, np.where(close == least, 1, 2)), axis=1, kind="stable")[:, :k]  # ties by place
     weight = np.maximum(np.take_along_axis(close, at, 1), 0).astype(np.float64) ** SHARPNESS * model["weights"][at]
     total = weight.sum(1)
     score = np.divide((weight * model["labels"][at]).sum(1), total, out=np.full(len(x), model["prior"], np.float64), where=total > 0)
@@ -140,7 +146,7 @@ def vote(x: np.ndarray, model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray
 def _scored(docs: DataFrame, model: dict | None, text_col: str) -> DataFrame:
     """docs' columns with _score after them."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shipped(spark, model)
 
     def run(batches):
         own = shared.value
@@ -168,7 +174,7 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     bound_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     # extra columns may repeat names: they travel as one struct
-    packed = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("_row"))
+    packed = docs.select(F.col(text_col).alias("text"), row_of(docs).alias("_row"))
     return _scored(packed, model, "text").where(F.col("_score") >= cut).select("_row.*")
 
 

@@ -4,9 +4,14 @@ Rules are evaluated per document, failures are counted per host, every host's fa
 of all hosts by a beta prior fitted to the hosts' rates (method of moments), and the host's verdict is joined back: a
 document stays if it passes the base rules and its host's shrunk rate stays below the limit.
 
-Defined results: a null text is an empty text (no words, base rule failed); a null host is a host of its own; with one
-host, or hosts whose rates do not differ more than chance, the prior is as strong as PRIOR_MAX documents; an empty
-table gives an empty result. Other columns, of any name, pass through untouched.
+Windows of three words are equal if two rounds of 64-bit hashes (of the words, then of the three hashes) are: two
+different windows of one text are taken for equal with a chance of some 2^-64 for each pair.
+
+Defined results: a null text is an empty text (no words, base rule failed); a null host is a host of its own; a null id
+stays null; rows that repeat count each, for themselves and for their host; ties can't matter, as no rule orders rows;
+with one host, or hosts whose rates do not differ more than chance, the prior is as strong as PRIOR_MAX documents; a text
+of any length is read whole, in its own task's memory; an empty table gives an empty result. Other columns, of any name,
+pass through untouched.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, read, small_side, spool
+from ._common import BROADCAST_ROWS, WORD, read, row_of, small_side, spool, table_bytes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -77,14 +82,27 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     return counts.select("_host", "_hnul", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk < max_rate).alias("host_ok"))
 
 
+def with_verdicts(facts: DataFrame, verdicts: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """facts with their hosts' verdicts. Few hosts are broadcast. Of many, the largest (at most `limit`, as each holds
+    more than its share of the documents) are broadcast, so no hot host is one task's, and the rest are joined by
+    shuffle."""
+    keys = ["_host", "_hnul"]
+    hosts, _ = table_bytes(verdicts)
+    if hosts <= limit:
+        return facts.join(small_side(verdicts, limit), keys)
+    docs = verdicts.agg(F.sum("host_docs")).first()[0]
+    hot = F.col("host_docs") > max(1, docs // limit)
+    large, small = F.broadcast(verdicts.where(hot)), verdicts.where(~hot)
+    return facts.join(large, keys).unionByName(facts.join(F.broadcast(verdicts.where(hot).select(*keys)), keys, "left_anti").join(small, keys))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE, carry: bool = False) -> DataFrame:
     """Per row: its id (or, with carry, all its columns as the struct _row), the counts, base_failed, the host's
     figures and kept. The counts are worked out once and written; host table and result both read them."""
-    keep = [(F.struct(*docs.columns) if carry else F.col(id_col)).alias("_row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(host_col).isNull().cast("int").alias("_hnul")]
+    keep = [(row_of(docs) if carry else F.col(id_col)).alias("_row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(host_col).isNull().cast("int").alias("_hnul")]
     facts = spool(features(docs, F.col(text_col), keep), "facts")
     counts = spool(facts.groupBy("_host", "_hnul").agg(F.count("*").alias("host_docs"), F.sum(rule_failed().cast("long")).alias("host_failures")), "hosts")
-    verdicts = host_verdicts(small_side(counts), max_rate)
-    return facts.join(verdicts, ["_host", "_hnul"]).select(
+    return with_verdicts(facts, host_verdicts(counts, max_rate)).select(
         "_row", F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_sym").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
         F.col("_rep").alias("n_repeat_words"), base_failed().alias("base_failed"), (~base_failed() & F.col("host_ok")).alias("kept"), "host_docs", "host_failures", "host_rate",
     )
