@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 
@@ -64,12 +65,14 @@ def _class(text: str) -> str:
 
 _LATER = regex.compile(f"[{_class(LATER_LETTERS)}{_class(LATER_NUMBERS)}]")
 _MARKS = regex.compile(f"([{_class(LATER_MARKS)}])")
+#: The least code point of all these; texts below it need no look at them.
+_HIGH = re.compile("[\u0558-\U0010ffff]")
 _CAPITALS = {c: c + step for r, step in LATER_CAPITALS.items() for a, b in _ranges(r) for c in range(a, b + 1)}
 
 
 def composed(text: str) -> str:
     """NFC, by parts where the text holds marks that aren't marks to the library."""
-    if _MARKS.search(text) is None:
+    if _HIGH.search(text) is None or _MARKS.search(text) is None:
         return unicodedata.normalize("NFC", text)
     return "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_MARKS.split(text)))
 
@@ -106,8 +109,9 @@ class Recent:
 class WordBPE:
     """A tokenizer file of the kind "lower case, words with an end mark, byte level"."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, decoding: bool = True):
         spec = json.loads(file)
+        self.decoding, self.bare = decoding, set()
         model = spec["model"]
         vocab, self.mark = model["vocab"], model["end_of_word_suffix"]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -234,7 +238,7 @@ class WordBPE:
         """The ids of a piece between white space, packed, and their decoding."""
         packed, words = [], self.words
         ascii_ = piece.isascii()
-        pattern = self.pattern if ascii_ or _LATER.search(piece) is None else self.exact
+        pattern = self.pattern if ascii_ or _HIGH.search(piece) is None or _LATER.search(piece) is None else self.exact
         for w in [piece] if ascii_ and piece.isalpha() else pattern.findall(piece):  # letters alone are one word
             code = words.young.get(w) or words.get(w)
             if code is None:
@@ -244,28 +248,35 @@ class WordBPE:
                     words.put(w, code)
             packed.append(code)
         ids = b"".join(packed)
-        return ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids))
+        return ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids)) if self.decoding else b""
 
     def plain(self, text: str) -> list[tuple[bytes, bytes]]:
         """Codes of a text without special tokens, by its pieces between white space."""
         if not text.isascii():
             # lower case by character: no final sigma
-            text = composed(text).replace("Σ", "σ").translate(_CAPITALS)
+            text = composed(text).replace("Σ", "σ")
+            if _HIGH.search(text) is not None:
+                text = text.translate(_CAPITALS)
         text = text.lower()
         found = regex.split(f"[{_SPACE}]+", text) if _ODD.search(text) else text.split()
-        known, out = self.known, []
-        young = known.young
-        for p in found:
-            code = young.get(p)
-            if code is None:
-                code = known.get(p)
-                if code is None:
-                    code = self.piece(p)
-                    if len(p) <= 64:
-                        known.put(p, code)
-                young = known.young
-            if code[0]:
-                out.append(code)
+        known, bare = self.known, self.bare
+        out = [*map(known.young.get, found)]
+        if None in out:
+            for i, p in enumerate(found):
+                if out[i] is None:
+                    code = known.get(p)
+                    if code is None:
+                        code = self.piece(p)
+                        if not code[0]:
+                            bare.add(p)
+                        if len(p) <= 64:
+                            known.put(p, code)
+                    out[i] = code
+        if bare and not bare.isdisjoint(found):  # pieces without a word
+            out = [c for c in out if c[0]]
+            if len(bare) > KEEP_PIECES:
+                bare = self.bare = set()
+                known.young, known.old = {}, {}
         return out
 
     def encode(self, text: str) -> list[tuple[bytes, bytes]]:
@@ -280,12 +291,12 @@ class WordBPE:
         return out
 
 
-def encoder(file: str) -> WordBPE:
-    """One encoder for each worker and tokenizer file's content."""
+def encoder(file: str, decoding: bool = True) -> WordBPE:
+    """One encoder for each worker and tokenizer file's content; without decoding its codes hold the ids alone."""
     cache = worker_tables("bpe")
-    key = hash(file)
+    key = hash(file), decoding
     if key not in cache:
-        cache[key] = WordBPE(file)
+        cache[key] = WordBPE(file, decoding)
     return cache[key]
 
 

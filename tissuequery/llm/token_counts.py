@@ -55,14 +55,14 @@ def flat_files(docs: DataFrame, id_col: str, text_col: str, folder: str, path: s
     bound_batches(spark)
     with open(path or default_file(), encoding="utf-8") as f:
         content = f.read()
-    model = encoder(content)
+    model = encoder(content, False)
     separator, kind = model.special[SEPARATOR], token_type(max(model.names) + 1)
     shared = spark.sparkContext.broadcast(content)
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
 
     def run(batches):
-        model, out, order, size = encoder(shared.value), None, 0, 0
+        model, out, order, size = encoder(shared.value, False), None, 0, 0
         end = np.array([separator], kind).tobytes()
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens"
         try:
