@@ -234,21 +234,26 @@ class WordBPE:
         blob, at = self.blob, self.at
         return b" ".join([blob[at[i] : at[i + 1]] for i in ids])
 
+    def coded(self, word: str) -> tuple[bytes, bytes]:
+        """A word's ids, packed, and their decoding."""
+        code = self.words.young.get(word) or self.words.get(word)
+        if code is None:
+            ids = self.word(word)
+            code = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids) if self.decoding else b""
+            if len(word) <= 64:
+                self.words.put(word, code)
+        return code
+
     def piece(self, piece: str) -> tuple[bytes, bytes]:
-        """The ids of a piece between white space, packed, and their decoding."""
-        packed, words = [], self.words
+        """The same of a piece between white space."""
         ascii_ = piece.isascii()
+        if ascii_ and piece.isalpha():  # letters alone are one word
+            return self.coded(piece)
         pattern = self.pattern if ascii_ or _HIGH.search(piece) is None or _LATER.search(piece) is None else self.exact
-        for w in [piece] if ascii_ and piece.isalpha() else pattern.findall(piece):  # letters alone are one word
-            code = words.young.get(w) or words.get(w)
-            if code is None:
-                ids = self.word(w)
-                code = struct.pack(f"<{len(ids)}I", *ids)
-                if len(w) <= 64:
-                    words.put(w, code)
-            packed.append(code)
-        ids = b"".join(packed)
-        return ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids)) if self.decoding else b""
+        codes = [*map(self.coded, pattern.findall(piece))]
+        if len(codes) == 1:
+            return codes[0]
+        return b"".join([c[0] for c in codes]), b" ".join([c[1] for c in codes])
 
     def plain(self, text: str) -> list[tuple[bytes, bytes]]:
         """Codes of a text without special tokens, by its pieces between white space."""

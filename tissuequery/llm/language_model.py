@@ -8,9 +8,10 @@ classes once; training and scoring read the lines.
 Model: the representation of the next class is the sum of two vectors, one for each of the two classes before; its
 score is the inner product with the class's own vector plus a bias. It is trained by noise-contrastive estimation in
 numpy, over all training tokens, from the unigram model on. The lines are dealt by row to slices of about SLICE_TOKENS
-tokens, whatever the table's partitions, so a slice's model has seen enough; the slices' weights are averaged row by row,
-each weighted by how often the slice saw the row, and the next of ROUNDS rounds goes on from the average (iterative
-parameter mixing, the squares of gradients that set each row's step included).
+tokens, whatever the table's partitions, so a slice's model has seen enough, and the slices to ROUNDS rounds (fewer where
+there are fewer slices). Every slice of a round is trained from the last round's mean; then the weights are averaged row
+by row, each weighted by how often the slice saw the row, the squares of gradients that set each row's step included
+(iterative parameter mixing). So every token is learned from once, and the model goes through ROUNDS slices in sequence.
 
 Scoring: since exp(a + b) = exp(a) exp(b), the normalisers of all contexts are one matrix product, made by blocks; token
 log-probabilities are inner products less normalisers, so they are normalised over all classes. Within a class of several
@@ -47,7 +48,7 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 DICTIONARY, WORD_BYTES = 150_000, 64
 OWN_CLASS, ENDINGS, ENDING_BYTES = 4096, 512, 3
 DIMS, NOISE, BATCH, RATE = 32, 96, 512, 0.1
-SLICE_TOKENS, ROUNDS = 2_000_000, 2
+SLICE_TOKENS, ROUNDS = 2_000_000, 4
 NAMES = ("one", "two", "out", "bias")
 END = b""  # no word is empty
 
@@ -150,7 +151,12 @@ def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    """In place, by the hyperbolic tangent, which doesn't overflow."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
 class Trainer:
@@ -160,40 +166,45 @@ class Trainer:
         self.w = {k: weights[k].copy() for k in NAMES}
         self.sum = {k: weights[f"{k}_sum"].copy() for k in NAMES}
         self.seen = {k: np.zeros(len(weights[k])) for k in NAMES}
+        self.bound = np.uint16 if len(weights["one"]) < 1 << 16 else np.int64  # short keys are sorted by radix
         self.edges, self.logq = np.cumsum(q), (np.log(q) + np.log(NOISE)).astype(np.float32)
         self.rng = np.random.default_rng(seed)
 
     def run(self, rows: np.ndarray) -> None:
+        for name, at in zip(NAMES, (1, 0, 2, 2)):
+            self.seen[name] += np.bincount(rows[:, at], minlength=len(self.seen[name]))
         order = self.rng.permutation(len(rows))
         for start in range(0, len(rows), BATCH):
             self.step(*rows[order[start : start + BATCH]].T)
 
-    def _move(self, name: str, at: np.ndarray, gradient: np.ndarray, size: float, counted: int) -> None:
-        order = at.argsort(kind="stable")
+    def _move(self, at: np.ndarray, moved: list[tuple[str, np.ndarray]], size: float) -> None:
+        order = at.astype(self.bound).argsort(kind="stable")
         sorted_ = at[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
         rows = sorted_[starts]
-        g = np.add.reduceat(gradient[order], starts, axis=0) / size
-        self.seen[name] += np.bincount(at[:counted], minlength=len(self.w[name]))
-        past = self.sum[name][rows] + g * g
-        self.sum[name][rows] = past
-        self.w[name][rows] -= RATE * g / np.sqrt(past)
+        for name, gradient in moved:
+            g = np.add.reduceat(gradient[order], starts, axis=0)
+            g *= np.float32(1 / size)
+            past = self.sum[name][rows] + g * g
+            self.sum[name][rows] = past
+            g *= np.float32(RATE)
+            g /= np.sqrt(past)
+            self.w[name][rows] -= g
 
     def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
         w, n = self.w, len(target)
         hidden = w["one"][one] + w["two"][two]
         noise = np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1])
         own, others, bias = w["out"][target], w["out"][noise], w["bias"][:, 0]
-        true = _sigmoid((hidden * own).sum(1) + bias[target] - self.logq[target]) - 1
+        true = _sigmoid(np.einsum("ij,ij->i", hidden, own) + bias[target] - self.logq[target]) - 1
         false = _sigmoid(hidden @ others.T + bias[noise] - self.logq[noise])
         to_hidden = true[:, None] * own + false @ others
         both, size = np.concatenate([target, noise]), n / 32
         to_out = np.concatenate([true[:, None] * hidden, false.T @ hidden])
         to_bias = np.concatenate([true, false.sum(0)])[:, None]
-        self._move("one", one, to_hidden, size, n)
-        self._move("two", two, to_hidden, size, n)
-        self._move("out", both, to_out, size, n)
-        self._move("bias", both, to_bias, size, n)
+        self._move(one, [("one", to_hidden)], size)
+        self._move(two, [("two", to_hidden)], size)
+        self._move(both, [("out", to_out), ("bias", to_bias)], size)
 
 
 def triples(classes: list[np.ndarray], k: int) -> np.ndarray:
@@ -239,13 +250,12 @@ def lines(docs: DataFrame, shipped: Shipped) -> DataFrame:
     return docs.mapInArrow(run, f"row long, id {kind}, n long, known long, base double, within double, classes binary, word binary")
 
 
-def train(learn: DataFrame, tokens: int, q: np.ndarray, weights: dict, round_: int = 0) -> dict:
-    """One round of parameter mixing. learn: row, classes, of all training texts."""
+def train(learn: DataFrame, slices: int, q: np.ndarray, weights: dict, round_: int, rounds: int) -> dict:
+    """One round of parameter mixing, over its part of the slices. learn: row, classes, of all training texts."""
     spark = learn.sparkSession
     shared, k = Shipped(spark, (weights, q)), len(q)
-    slices = max(1, round(tokens / SLICE_TOKENS))
     columns = [f"v{i}" for i in range(2 * DIMS)]
-    dealt = learn.select(F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(slices)).cast("int").alias("slice"), "row", "classes")
+    dealt = learn.select(F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), "row", "classes").where(F.col("slice") % rounds == round_)
 
     def run(own: pa.Table) -> pa.Table:
         weights, q = shared.value
@@ -332,8 +342,10 @@ def fitted(facts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
     """The trained weights. facts: lines of all texts, spooled."""
     learn = facts.where(F.col("word").isNull() & (fold(F.col("id")) != HELD_OUT_FOLD)).select("row", "classes")
     weights = start_weights(v)
+    slices = max(1, round(v.tokens / SLICE_TOKENS))
+    rounds = min(rounds, slices)
     for k in range(rounds):
-        weights = train(learn, v.tokens, v.q, weights, k)
+        weights = train(learn, slices, v.q, weights, k, rounds)
     return weights
 
 
