@@ -35,7 +35,6 @@ from ._common import bound_batches, by_value, read, row_of, small_side, spool, t
 by_value(__name__)
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
-SPACES = " \t\n\x0b\x0c\r"
 PERCENT = 75
 #: Candidate classes up to this many are broadcast against the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -114,16 +113,16 @@ def _cls(words: list[bytes]) -> bytes | None:
     return hashlib.md5(b" ".join(words)).digest() if words else None
 
 
-def _pick(id_col: str, text_col: str, kind: T.DataType) -> Column:
+def _pick(ident: Column, raw: Column, kind: T.DataType) -> Column:
     """What tells a row from all but its equals: id (null apart) and text hash, without nulls inside."""
-    return F.struct(F.col(id_col).isNull().alias("nul"), F.coalesce(F.col(id_col), F.lit(0).cast(kind)).alias("id"), text_hash(F.col(text_col)).alias("raw"))
+    return F.struct(ident.isNull().alias("nul"), F.coalesce(ident, F.lit(0).cast(kind)).alias("id"), raw.alias("raw"))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, pick (see _pick), cls (hash of the word sequence, null without words), n (shingles), keys (one a band)."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row: Column | None = None) -> DataFrame:
+    """id, raw (hash of the text), mid (the row's number, if given), cls (hash of the word sequence, null without words), n (shingles), keys (one a band)."""
     bound_batches(docs.sparkSession)
-    kind = docs.select(F.col(id_col)).schema[0].dataType
-    narrow = docs.select(F.struct(F.col(id_col).alias("id"), _pick(id_col, text_col, kind).alias("pick")).alias("id"), F.col(text_col).alias("text"))
+    row = F.lit(0).cast("long") if row is None else row
+    narrow = docs.select(F.struct(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("raw"), row.alias("mid")).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -137,25 +136,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                 yield pa.RecordBatch.from_arrays([ids, pa.array(map(_cls, texts), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "cls", "n", "keys"])
 
     out = narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, cls binary, n long, keys array<long>")
-    return out.select("id.id", "id.pick", "cls", "n", "keys")
+    return out.select("id.id", "id.raw", "id.mid", "cls", "n", "keys")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (the class) and its set of shingle hashes. wanted: pick, id: a row of each class asked for."""
+    """id (the class) and its set of shingle hashes. wanted: pick, id, cls: a row of each class asked for."""
     kind = docs.select(F.col(id_col)).schema[0].dataType
-    narrow = docs.select(F.col(text_col).alias("text"), _pick(id_col, text_col, kind).alias("pick")).join(small_side(wanted, BROADCAST_IDS), "pick").select("id", "text")
+    narrow = docs.select(F.col(text_col).alias("text"), _pick(F.col(id_col), text_hash(F.col(text_col)), kind).alias("pick")).join(small_side(wanted, BROADCAST_IDS), "pick").select(F.struct("id", "cls").alias("id"), "text")
 
     def run(batches):
         for batch in batches:
             for got, texts in _worded(batch):
                 # a text of another class with the same id and hash is dropped here
-                own = [i for i, (c, w) in enumerate(zip(got.to_pylist(), texts)) if _cls(w) == c]
+                classes = got.field("cls").to_pylist()
+                own = [i for i, w in enumerate(texts) if _cls(w) == classes[i]]
                 sets = [shingles(texts[i]).view(np.int64) for i in own]
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([got.take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([got.field("id").take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["id", "members"])
 
     # equal rows have equal sets: one is kept
-    return narrow.mapInArrow(run, "id binary, members array<long>").groupBy("id").agg(F.min("members").alias("members"))
+    return narrow.mapInArrow(run, "id long, members array<long>").groupBy("id").agg(F.min("members").alias("members"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -258,24 +258,25 @@ def _near_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int) -> DataFrame:
-    """Per row of docs: id, pick, n, cls and the component's smallest class (node); without words cls and node are null."""
-    sketch = spool(sketches(docs, id_col, text_col, bands, rows), "sketches")
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int, row: Column | None = None) -> DataFrame:
+    """Per row of docs: id, raw, mid, n and the class that stands for its component (node; null without words)."""
+    sketch = spool(sketches(docs, id_col, text_col, bands, rows, row), "sketches")
     some = sketch.where(F.col("cls").isNotNull())
-    # one row a class: its size, its bands, and one of its rows (the smallest)
-    classes = spool(some.groupBy("cls").agg(F.min("pick").alias("pick"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    members = spool(classes.select(F.col("cls").alias("id"), "n", F.explode("keys").alias("key")), "members")
+    # one row a class: its bands, one of its rows (the smallest), and a number, fixed by writing it
+    kind = sketch.schema["id"].dataType
+    classes = some.groupBy("cls").agg(F.min(_pick(F.col("id"), F.col("raw"), kind)).alias("pick"), F.first("keys").alias("keys"))
+    classes = spool(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = classes.select("id", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = spool(members.join(buckets, "key"), "shared")  # what has company in some bucket
-    unspool(members)
     # a bucket's pivot is its most central text, that which has most company in all its buckets: an edited copy is
     # nearer to it than to another edited copy
     rank = shared.groupBy("id").agg(F.sum("many").alias("company"))
     ranked = spool(shared.drop("many").join(rank, "id"), "ranked")
     unspool(shared)
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "id", "n")).alias("pivot"))
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "id")).alias("pivot"))
     first = spool(ranked.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).where("a != b").distinct(), "first")
-    wanted = spool(classes.select(F.col("cls").alias("id"), "pick").join(ranked.select("id").distinct(), "id", "left_semi"), "wanted")
+    wanted = spool(classes.select("id", "cls", "pick").join(ranked.select("id").distinct(), "id", "left_semi"), "wanted")
     sets = spool(full_sets(docs, wanted, id_col, text_col), "sets")
     links = spool(confirm(first, sets, percent), "links")
     so_far = spool(components(links), "so_far")
@@ -283,12 +284,15 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int, bands
     more = spool(confirm(second, sets, percent), "more")
     unspool(first, wanted, sets, ranked, second)
     # classes of one id are one document's
-    ids = some.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("cls").alias("b"), F.max("cls").alias("_most")).where("b != _most").select("id", "b")
-    same = some.select("id", F.col("cls").alias("a")).join(ids, "id").where("a != b").select("a", "b").distinct()
+    ids = some.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("cls").alias("_least"), F.max("cls").alias("_most")).where("_least != _most").select("id", "_least")
+    same = some.select("id", "cls").join(ids, "id").where("cls != _least").select("cls", "_least").distinct()
+    numbers = classes.select("cls", F.col("id").alias("b"))
+    same = same.join(numbers.select(F.col("cls").alias("_least"), "b"), "_least").join(numbers.select("cls", F.col("b").alias("a")), "cls").select("a", "b")
     extra = spool(more.union(same), "extra")
     whole = spool(components(links.union(extra)), "components") if not extra.isEmpty() else so_far
-    out = sketch.drop("keys").join(whole.select(F.col("id").alias("cls"), "component"), "cls", "left")
-    out = spool(out.select("id", "pick", "n", "cls", F.coalesce("component", "cls").alias("node")), "nodes")
+    named = whole.join(classes.select("id", "cls"), "id").join(classes.select(F.col("id").alias("component"), F.col("cls").alias("_root")), "component").select("cls", "_root")
+    out = sketch.drop("keys").join(named, "cls", "left").select("id", "raw", "mid", "n", F.coalesce("_root", "cls").alias("node"))
+    out = spool(out, "nodes")
     unspool(sketch, classes, links, more, extra, so_far, whole)
     return out
 
@@ -305,15 +309,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs' rows without near-duplicates, with docs' columns: of each component the row of smallest id (null last), then
-    of smallest text hash, once; rows without words all stay."""
-    nodes = _classified(docs, id_col, text_col, percent, bands, rows)
-    winners = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("pick").alias("_pick")).select("_pick").union(nodes.where("node IS NULL").select("pick").distinct())
-    key = _pick(id_col, text_col, nodes.schema["id"].dataType)
-    packed = docs.select(key.alias("_pick"), row_of(docs).alias("_row"), (F.coalesce(F.translate(F.col(text_col), SPACES, ""), F.lit("")) == "").alias("_bare"))
-    kept = packed.join(winners, "_pick", "left_semi")
-    # equal rows (in id and text) of a component: one stays, any, as they differ in other columns at most
-    one = kept.where(~F.col("_bare")).groupBy("_pick").agg(F.first("_row").alias("_row"))
-    return one.select("_row.*").unionByName(kept.where("_bare").select("_row.*"))
+    of smallest text hash, then the first; rows without words all stay. The rows are written once with their numbers, and
+    the decisions come back by number, so no text is sorted or compared."""
+    packed = docs.select(row_of(docs).alias("_row"), F.monotonically_increasing_id().alias("_mid"))
+    packed = spool(packed, "rows")
+    own = packed.select(F.col("_row").getField(id_col).alias("id"), F.col("_row").getField(text_col).alias("text"), "_mid")
+    nodes = _classified(own, "id", "text", percent, bands, rows, F.col("_mid"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "raw", "mid"))
+    kept = nodes.where("node IS NOT NULL").groupBy("node").agg(first.alias("w")).select(F.col("w.mid").alias("_mid")).union(nodes.where("node IS NULL").select("mid"))
+    return packed.join(small_side(spool(kept, "kept"), BROADCAST_IDS), "_mid", "left_semi").select("_row.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
