@@ -10,10 +10,18 @@ plans for a training design: exact up to GRID_FROM cells, on the grid above or w
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Cells in a block, and the bytes of all blocks of sources up to which they are broadcast; more are joined by shuffle.
+BLOCK, BROADCAST_BYTES = 2048, 64 << 20
 GRID_FROM, GRID_FACTOR = 15_000, 0.5
 THRESHOLD = 1e-9
 
@@ -32,16 +40,58 @@ def _long(df: DataFrame, ligands: list[str], keys: list[str]) -> DataFrame:
     return df.select(*keys, rows.alias("r")).select(*keys, "r.gene", "r.value")
 
 
-def _summed(places: DataFrame, sources: DataFrame, radii: list[float], key: str, scale: float, n: int) -> DataFrame:
-    """The kernel sum at every place; each source weight is worked out once a distinct radius."""
-    src = sources.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *(F.col(f"l{k}").alias(f"s{k}") for k in range(len(radii))))
-    pairs = places.crossJoin(F.broadcast(src)) if n <= GRID_FROM else places.crossJoin(src)
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    pairs = pairs.withColumn("d2", d2)
+def _blocks(df: DataFrame, columns: list[str], blocks: int, name: str) -> DataFrame:
+    """Rows dealt to blocks by a hash of their first column, a whole number; each block's numbers as one matrix."""
+
+    def run(own: pa.Table) -> pa.Table:
+        x = np.column_stack([own[c].to_numpy().astype(np.float64) for c in columns[1:]])
+        keys = own[columns[0]].to_numpy().astype("<i8")
+        return pa.table({name: own[name].slice(0, 1).cast(pa.int32()), f"{name}_keys": pa.array([keys.tobytes()], pa.binary()), f"{name}_data": pa.array([x.astype("<f8").tobytes()], pa.binary())})
+
+    dealt = df.select(*columns, F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).cast("int").alias(name))
+    return dealt.groupBy(name).applyInArrow(run, f"{name} int, {name}_keys binary, {name}_data binary")
+
+
+def _summed(places: DataFrame, sources: DataFrame, radii: list[float], key: str, scale: float, n: int, many: int | None = None) -> DataFrame:
+    """The kernel sum at every place: blocks of places meet blocks of sources, a matrix product each. Each weight is worked
+    out once a distinct radius; weights below the smallest double are zero by themselves."""
+    many = n if many is None else many
+    width = len(radii)
+    p = _blocks(places, [key, "x", "y"], max(1, -(-many // BLOCK)), "p")
+    blocks = max(1, -(-n // BLOCK))
+    src = _blocks(sources, ["cell_idx", "x", "y", *(f"l{k}" for k in range(width))], blocks, "s").drop("s_keys")
+    if n * (width + 2) * 8 <= BROADCAST_BYTES:
+        pairs = p.join(F.broadcast(src))
+    else:
+        pairs = p.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(src, "s")
     distinct = sorted(set(radii))
-    pairs = pairs.select("*", *(F.exp(F.col("d2") * (-1.0 / (2.0 * r * r))).alias(f"w{i}") for i, r in enumerate(distinct)))
-    sums = [(F.sum(F.col(f"w{distinct.index(r)}") * F.col(f"s{k}")) * (scale / max(n, 1))).alias(f"l{k}") for k, r in enumerate(radii)]
-    return pairs.groupBy(key).agg(*sums)
+    factor = scale / max(n, 1)
+
+    def run(batches):
+        at, keys, sums, xy = None, None, None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], names=["key", *(f"l{k}" for k in range(width))])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = batch.column("p")[row].as_py()
+                if block != at:
+                    if at is not None:
+                        yield out()
+                    at, keys = block, np.frombuffer(batch.column("p_keys")[row].as_py(), "<i8")
+                    xy, sums = np.frombuffer(batch.column("p_data")[row].as_py(), "<f8").reshape(-1, 2), np.zeros((len(keys), width))
+                s = np.frombuffer(batch.column("s_data")[row].as_py(), "<f8").reshape(-1, 2 + width)
+                d2 = (xy[:, :1] - s[:, 0]) ** 2 + (xy[:, 1:] - s[:, 1]) ** 2
+                for r in distinct:
+                    own = [k for k, q in enumerate(radii) if q == r]
+                    sums[:, own] += np.exp(d2 * (-1.0 / (2.0 * r * r))) @ s[:, [2 + k for k in own]]
+        if at is not None:
+            yield out()
+
+    ordered = pairs.select("p", "p_keys", "p_data", "s_data")
+    got = ordered.mapInArrow(run, "key long, " + ", ".join(f"l{k} double" for k in range(width)))
+    return got.groupBy(F.col("key").alias(key)).agg(*((F.sum(f"l{k}") * factor).alias(f"l{k}") for k in range(width)))
 
 
 def exact(cells: DataFrame, values: DataFrame, ligands: list[str], radii: list[float], scale: float = 1.0, threshold: float | None = None, n: int | None = None) -> DataFrame:
@@ -68,7 +118,7 @@ def on_grid(cells: DataFrame, values: DataFrame, ligands: list[str], radius: flo
         return exact(cells, values, ligands, [radius] * len(ligands), scale, threshold, n)
     sources = wide(cells, values, ligands, threshold)
     places = cells.sparkSession.range(nx * ny).select(F.col("id").alias("anchor"), (F.lit(x0) + (F.col("id") % nx) * F.lit(step)).alias("x"), (F.lit(y0) + F.floor(F.col("id") / nx) * F.lit(step)).alias("y"))
-    anchors = _at_anchors(places, sources, len(ligands), radius, scale, n)
+    anchors = _summed(places, sources, [radius] * len(ligands), "anchor", scale, n, nx * ny)
     gx, gy = (F.col("x") - F.lit(x0)) / F.lit(step), (F.col("y") - F.lit(y0)) / F.lit(step)
     placed = cells.select("cell_idx", F.floor(gx).alias("ix"), F.floor(gy).alias("iy"), gx.alias("gx"), gy.alias("gy")).withColumn("fx", F.col("gx") - F.col("ix")).withColumn("fy", F.col("gy") - F.col("iy"))
     corner = F.explode(
@@ -80,21 +130,11 @@ def on_grid(cells: DataFrame, values: DataFrame, ligands: list[str], radius: flo
             )
         )
     )
-    corners = placed.select("cell_idx", corner.alias("c")).select("cell_idx", "c.anchor", "c.w").join(F.broadcast(anchors), "anchor")
+    corners = placed.select("cell_idx", corner.alias("c")).select("cell_idx", "c.anchor", "c.w").join(F.broadcast(anchors) if nx * ny * (len(ligands) + 1) * 8 <= BROADCAST_BYTES else anchors, "anchor")
     got = corners.groupBy("cell_idx").agg(*(F.sum(F.col("w") * F.col(f"l{k}")).alias(f"l{k}") for k in range(len(ligands))))
     return _long(got, ligands, ["cell_idx"])
 
 
-def _at_anchors(places: DataFrame, sources: DataFrame, many: int, radius: float, scale: float, n: int) -> DataFrame:
-    """Every anchor's sum over all cells: the anchors, few by construction, are broadcast to the cells' partitions and
-    partial sums are shuffled."""
-    p = places.select("anchor", F.col("x").alias("px"), F.col("y").alias("py"))
-    pairs = sources.crossJoin(F.broadcast(p))
-    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    pairs = pairs.withColumn("w", F.exp(d2 * (-1.0 / (2.0 * radius * radius))))
-    return pairs.groupBy("anchor").agg(*((F.sum(F.col("w") * F.col(f"l{k}")) * (scale / n)).alias(f"l{k}") for k in range(many)))
-
-
 def received(cells: DataFrame, values: DataFrame, ligands: list[str], radii: list[float], scale: float = 1.0, threshold: float | None = None, factor: float | None = None) -> DataFrame:
     """The planner: exact, or by groups of equal radius on the grid."""
     n = cells.count()

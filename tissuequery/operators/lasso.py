@@ -6,11 +6,16 @@ run in applyInPandas over (target, cluster): a group's design is rows of one arr
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def soft(w: np.ndarray, reg: float) -> np.ndarray:
     return np.sign(w) * np.maximum(0.0, np.abs(w) - reg)

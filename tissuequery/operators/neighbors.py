@@ -1,15 +1,16 @@
 """Radius and nearest-neighbour joins on the plane.
 
 The radius join is an equi-join on grid squares of the radius' size: every cell is dealt to its own square and the
-eight around it, so only near cells meet. The nearest-neighbour join widens rings of squares until a square's k-th
-neighbour is nearer than the next ring, so it is exact without looking at all pairs.
+eight around it, so only near cells meet. The nearest-neighbour join deals points to boxes of about equal numbers (strips
+by quantiles of x, boxes within a strip by quantiles of y), so clustered points and outliers are no matter: the k-th
+neighbour in a point's own box bounds how far it must look, and then it meets the boxes that its circle touches. Exact.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
@@ -31,38 +32,49 @@ def within_radius(points: DataFrame, radius: float, key: str = "cell_idx", x: st
     return p.join(q, ["bx", "by"]).select("i", "j", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def nearest(points: DataFrame, k: int, key: str = "cell_idx", x: str = "x", y: str = "y", per_square: int | None = None) -> DataFrame:
+def _place(table: Column, bits: int, x: Column) -> Column:
+    """How many of the sorted values in table are at most x: binary search."""
+
+    def halve(at, step):
+        nxt = at + step
+        return F.when((nxt <= F.size(table)) & (F.get(table, (nxt - 1).cast("int")) <= x), nxt).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(1 << b) for b in reversed(range(max(1, bits))))), F.lit(0), halve)
+
+
+def nearest(points: DataFrame, k: int, key: str = "cell_idx", x: str = "x", y: str = "y", per_box: int | None = None) -> DataFrame:
     """i, j, rank, d2: the k nearest other points of every point, ties to the smaller key. Exact."""
-    p = finite(points, x, y).select(F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
-    n, x0, x1, y0, y1 = p.agg(F.count("*"), F.min("xi"), F.max("xi"), F.min("yi"), F.max("yi")).first()
-    schema = f"i {p.schema['i'].dataType.simpleString()}, j {p.schema['i'].dataType.simpleString()}, rank int, d2 double"
-    if not n or n < 2:
-        return points.sparkSession.createDataFrame([], schema)
+    p = cut(finite(points, x, y).select(F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi")))
+    n = p.count()
+    if n < 2:
+        return points.sparkSession.createDataFrame([], f"i {p.schema['i'].dataType.simpleString()}, j {p.schema['i'].dataType.simpleString()}, rank int, d2 double")
     k = min(k, n - 1)
-    span = max(x1 - x0, y1 - y0, 1e-9)
-    square = span / max(1.0, math.sqrt(n / (per_square or max(8, 2 * k))))
-    spark, done, open_points, ring, largest = points.sparkSession, None, p, 1, math.ceil(span / square) + 1
-    own = p.select("*", F.floor((F.col("xi") - x0) / square).alias("bx"), F.floor((F.col("yi") - y0) / square).alias("by"))
+    strips = max(1, int(math.sqrt(n / (per_box or max(48, 4 * k)))))
+    shares, bits = [q / strips for q in range(1, strips)], strips.bit_length()
+    none = F.array().cast("array<double>")
+
+    def cuts(column):
+        return F.array_distinct(F.array_sort(F.percentile_approx(column, shares, 100 * strips))) if shares else none
+
+    across = F.lit(p.agg(cuts("xi").alias("c")).first()["c"] or []).cast("array<double>") if shares else none
+    own = p.withColumn("strip", _place(across, bits, F.col("xi")))
+    up = own.groupBy("strip").agg(cuts("yi").alias("ys")) if shares else own.select("strip", none.alias("ys")).distinct()
+    up = cut(up)
+    up = F.broadcast(up) if 8 * strips * strips <= 64 << 20 else up  # as many numbers as there are boxes
+    own = cut(own.join(up, "strip").withColumn("box", _place(F.col("ys"), bits, F.col("yi"))).drop("ys"))
+    # of points in one place only the k + 1 smallest keys can be among anyone's neighbours
+    copies = Window.partitionBy("xi", "yi").orderBy("i")
+    other = own.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1)
+    other = cut(other.select("strip", "box", F.col("i").alias("j"), F.col("xi").alias("xj"), F.col("yi").alias("yj")))
     d2 = (F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")) + (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj"))
-    by = Window.partitionBy("i").orderBy("d2", "j")
-    while True:
-        mine = open_points.select("i", "xi", "yi", F.floor((F.col("xi") - x0) / square).alias("cx"), F.floor((F.col("yi") - y0) / square).alias("cy"))
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        mine = mine.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("i", "xi", "yi", (F.col("cx") + F.col("dx")).alias("bx"), (F.col("cy") + F.col("dy")).alias("by"))
-        other = own.select(F.col("i").alias("j"), F.col("xi").alias("xj"), F.col("yi").alias("yj"), "bx", "by")
-        near = mine.join(other, ["bx", "by"]).where("i != j").select("i", "j", d2.alias("d2")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        last = ring >= largest
-        safe = near.groupBy("i").agg(F.count("*").alias("n"), F.max("d2").alias("far"))
-        safe = safe if last else safe.where((F.col("n") == k) & (F.col("far") < (ring * square) ** 2))
-        safe = safe.select("i").persist()
-        part = near.join(safe, "i", "left_semi").select("i", "j", "rank", "d2")
-        done = part if done is None else done.union(part)
-        if last:
-            return done
-        open_points = open_points.join(safe, "i", "left_anti").persist()
-        if open_points.isEmpty():
-            return done
-        ring = min(2 * ring, largest)
+    bound = own.join(other, ["strip", "box"]).where("i != j").groupBy("i").agg(F.get(F.sort_array(F.collect_list(d2)), k - 1).alias("far"))
+    far = F.coalesce("far", F.lit(float("inf")))
+    reach = F.sqrt(far) * (1 + 1e-9)
+    mine = own.select("i", "xi", "yi").join(bound, "i", "left").select("i", "xi", "yi", far.alias("far"), reach.alias("r"))
+    mine = mine.withColumn("strip", F.explode(F.sequence(_place(across, bits, F.col("xi") - F.col("r")), _place(across, bits, F.col("xi") + F.col("r")))))
+    mine = mine.join(up, "strip").withColumn("box", F.explode(F.sequence(_place(F.col("ys"), bits, F.col("yi") - F.col("r")), _place(F.col("ys"), bits, F.col("yi") + F.col("r"))))).drop("ys", "r")
+    near = mine.join(other, ["strip", "box"]).where("i != j").select("i", "j", "far", d2.alias("d2")).where("d2 <= far").drop("far")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("rank") <= k).select("i", "j", "rank", "d2")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -9,14 +9,18 @@ channel-first; weights are exchanged as NPZ.
 from __future__ import annotations
 
 import io
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lasso
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The network's shape, its slope below zero, and the activations' codes.
 CHANNELS = (1, 16, 32, 64)
 HIDDEN = (16, 32, 64)

@@ -150,7 +150,11 @@ class Session:
         spark = self.cells.sparkSession
         spark.sparkContext.setJobGroup(JOB_GROUP, "perturbation", True)
         wanted = self.scoped(scope).select("cell_idx", F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), F.lit(float(v)).alias("desired")) for g, v in desired.items()))).alias("w")).select("cell_idx", "w.gene", "w.desired")
-        return perturb.propagate(self.cells, self._dense(), self.betas, wanted, self.radii, max(1, min(rounds, perturb.MAX_ROUNDS)), **options)
+        try:
+            return perturb.propagate(self.cells, self._dense(), self.betas, wanted, self.radii, max(1, min(rounds, perturb.MAX_ROUNDS)), **options)
+        finally:  # later jobs of this thread are no part of the group
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                spark.sparkContext.setLocalProperty(name, None)
 
     def _dense(self) -> DataFrame:
         return summaries.dense(self.cells, self.expression, self.genes)
