@@ -10,7 +10,7 @@ from tissuequery.plans.registry import QUERIES, SQL
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("embeddings", "events", "lineitem"):
+    for t in ("embeddings", "events", "lineitem", "part"):
         c.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     return c
 

@@ -66,3 +66,13 @@ def half_up(value: Column, digits: int) -> Column:
 
 def finite_or_zero(value: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+
+
+def name_hash(name: Column) -> Column:
+    """The 32-bit hash h = 33 h + byte from 5381 on, of an ASCII name."""
+    return F.aggregate(F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long")), F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % (1 << 32))
+
+
+def as_label(value: Column) -> Column:
+    """Any value as text; null is empty."""
+    return F.coalesce(value.cast("string"), F.lit(""))

@@ -65,3 +65,9 @@ def splash(cells: DataFrame, betas: DataFrame, expression: DataFrame, received_l
     if cap is not None:
         deriv = F.greatest(F.least(deriv, F.lit(cap)), F.lit(-cap))
     return all_.groupBy("cell_idx", "target", "gene").agg(deriv.alias("deriv"))
+
+
+def active_terms(betas: DataFrame) -> DataFrame:
+    """The coefficients of terms that are not zero in every row."""
+    kept = betas.groupBy("target", "term_type", "a", "b").agg(F.max(F.abs("beta")).alias("most")).where("most > 0").select("target", "term_type", "a", F.coalesce("b", F.lit("")).alias("k"))
+    return betas.withColumn("k", F.coalesce("b", F.lit(""))).join(kept, ["target", "term_type", "a", "k"], "left_semi").drop("k")

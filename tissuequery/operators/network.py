@@ -58,3 +58,23 @@ def with_prior_masks(terms: DataFrame, priors: DataFrame, cluster_types: DataFra
     p = priors.select("target", "cell_type", F.col("source").alias("a")).distinct().withColumn("has", F.lit(True))
     out = named.join(p, ["target", "cell_type", "a"], "left")
     return out.select("target", "a", "cluster", (F.col("listed").isNull() | F.col("has").isNotNull()).alias("allowed"))
+
+
+def masked(design: DataFrame, masks: DataFrame) -> DataFrame:
+    """design (target, cluster, term_type, a, x, ...) with x = 0 where a factor isn't allowed in the cell's cluster.
+    masks: with_prior_masks."""
+    no = masks.where(~F.col("allowed")).select("target", F.col("cluster").cast("int").alias("cluster"), "a", F.lit("tf").alias("term_type"), F.lit(True).alias("_no")).distinct()
+    out = design.join(no, ["target", "cluster", "a", "term_type"], "left")
+    return out.withColumn("x", F.when(F.col("_no").isNull(), F.col("x")).otherwise(0.0)).drop("_no")
+
+
+def pair_keys(edges: DataFrame) -> DataFrame:
+    """pair: the distinct names of all ligand-receptor pairs."""
+    return lr_pairs(edges).select(F.concat("ligand", F.lit("$"), "receptor").alias("pair"))
+
+
+def context_genes(terms: DataFrame, target: str) -> DataFrame:
+    """gene: a target and all genes of its terms."""
+    own = terms.where(F.col("target") == target)
+    every = own.select(F.explode(F.array("target", "a", "b")).alias("gene")).where("gene IS NOT NULL")
+    return every.union(terms.sparkSession.createDataFrame([(target,)], "gene string")).distinct()

@@ -106,3 +106,28 @@ def gate(inputs: DataFrame, base_r2: float = 0.1, permissiveness: float = 0.5, p
     frac = F.when(F.col("n_mods") > 0, F.col("n_spatial") / F.col("n_mods")).otherwise(0.0)
     score = -F.log(F.greatest(p, F.lit(1e-300))) + weight * frac + F.col("mean_r2")
     return inputs.withColumn("reason", reason).withColumn("use", F.col("reason").isin("allow list", "pattern")).withColumn("rank_score", score)
+
+
+def expression_table(cells: DataFrame, expression: DataFrame, genes: list[str]) -> DataFrame:
+    """cell_idx and a column a gene, in the order asked for; absent values and unknown genes are 0."""
+    sums = [F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("value"))), F.lit(0.0)).alias(g) for g in genes]
+    got = expression.where(F.col("gene").isin(genes)).groupBy("cell_idx").agg(*sums)
+    return cells.select("cell_idx").join(got, "cell_idx", "left").fillna(0.0, genes)
+
+
+def target_genes(genes: DataFrame, listed: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """gene_idx, gene: the listed genes in variable order, the first `most` of them."""
+    out = genes if listed is None else genes.where(F.col("gene").isin(listed))
+    return out.select("gene_idx", "gene") if most is None else out.select("gene_idx", "gene").orderBy("gene_idx").limit(most)
+
+
+def highlighted(cells: DataFrame, labels: list[str]) -> DataFrame:
+    """cell_idx, keep: whether the cell's label is among those asked for; a cell without one is left out."""
+    if cells.where(F.trim("cell_type").isin(labels)).isEmpty():
+        raise ValueError("no cell has a label of " + ", ".join(labels))
+    return cells.select("cell_idx", F.coalesce(F.trim("cell_type").isin(labels), F.lit(False)).alias("keep"))
+
+
+def flat_maps(maps: DataFrame, m: int, n: int) -> DataFrame:
+    """cell_idx, column, value: own-cluster maps as sparse rows over all clusters' squares."""
+    return maps.select("cell_idx", (F.col("cluster") * (m * n) + F.col("i") * n + F.col("j")).cast("long").alias("column"), "value")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import codec, display
 from ..operators import betas as B
 from ..operators import context, kernel, lasso, neighbors, network, perturb, summaries, transition
 from ..sources import adapters as A
-from ..sources.tables import cut
+from ..sources.tables import cut, read
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RADIUS = 100.0
 LIGANDS = [f"G{i:02d}" for i in range(A.LIGANDS)]
@@ -429,3 +436,125 @@ def user_event_matrix(spark, d):
 def supplier_part_matrix(spark, d):
     """A large sparse matrix: suppliers as cells, parts as genes."""
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("cell_idx"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
+
+
+@query
+def name_rules(spark, d):
+    p = read(spark, d, "part")
+    price = F.col("p_retailprice") - 1000
+    return p.select(
+        "p_partkey", codec.sanitized_filename(F.col("p_type")).alias("file"), codec.sanitized_float(price).alias("value"), codec.half_up(F.col("p_retailprice"), 1).alias("rounded"), display.thousands(F.col("p_partkey") * 1000).alias("shown"),
+        codec.finite_or_zero(F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("p_retailprice"))).alias("finite"), codec.as_label(F.when(F.col("p_size") > 10, F.col("p_size"))).alias("label"), codec.name_hash(F.col("p_brand")).alias("hash"),
+    )
+
+
+@query
+def pair_names(spark, d):
+    p = read(spark, d, "part")
+    pair = F.concat("p_brand", F.when(F.col("p_partkey") % 4 == 0, "").otherwise(" $ "), F.when(F.col("p_partkey") % 4 == 1, " ").otherwise(F.col("p_type")))
+    a, b = codec.pair_parts(pair, "$")
+    file = F.concat(F.lit("/runs/x/"), F.translate("p_brand", "#", ""), F.when(F.col("p_partkey") % 2 == 0, "_betadata.feather").otherwise("_other.feather"))
+    return p.select("p_partkey", a.alias("first"), b.alias("second"), codec.gene_of_file(file).alias("gene"))
+
+
+@query
+def interaction_labels(spark, d):
+    t = A.design_terms(spark)
+    name = F.concat(F.lit("beta_"), "a", F.when(F.col("term_type") == "lr", F.concat(F.lit("$"), "b")).when(F.col("term_type") == "tfl", F.concat(F.lit("#"), "b")).otherwise(""))
+    return t.select("target", display.interaction_label(name).alias("label"))
+
+
+@query
+def value_ranges(spark, d):
+    """The range of a coordinate, and the symmetric one of another."""
+    low, high = display.value_range(A.cells(spark, d).select(F.col("x").alias("value")))
+    left, right = display.symmetric_range(A.cells(spark, d).select(F.col("y").alias("value")))
+    return spark.createDataFrame([(low, high, left, right)], "low double, high double, left double, right double").select(r6("low"), r6("high"), r6("left"), r6("right"))
+
+
+@query
+def lasso_prox(spark, d):
+    """The proximal step on every row's vector, in two groups of 32."""
+    groups = np.repeat([0, 1], 32)
+
+    def run(batches):
+        for pdf in batches:
+            w = [lasso.prox(np.asarray(v, np.float64), 0.05, {0: 0.4, 1: 0.8}, groups) for v in pdf["embedding"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "first": [x[:32].sum() for x in w], "size": [np.abs(x).sum() for x in w], "zeros": [int((x == 0).sum()) for x in w]})
+
+    return A.embeddings(spark, d).select("vec_id", "embedding").mapInPandas(run, "vec_id long, first double, size double, zeros long").select("vec_id", r6("first"), r6("size"), "zeros")
+
+
+@query
+def gated_fit(spark, d):
+    """Fits of R2 below a limit become zero."""
+    fits = lasso.quality(_fits(spark, d)).withColumn("r2", F.when(F.col("cluster") % 2 == 0, F.abs("r2")).otherwise(F.col("r2"))).withColumn("coef", F.array(F.lit(1.0), F.lit(2.0))).withColumn("intercept", F.lit(0.5))
+    return lasso.gated(fits, 0.1).select("target", F.col("cluster").cast("long").alias("cluster"), F.round("r2", 5).alias("r2"), "intercept", F.element_at("coef", 2).alias("second"))
+
+
+@query
+def expression_columns(spark, d):
+    return summaries.expression_table(A.cells(spark, d), A.expression(spark, d), ["G02", "G41", "absent"]).select("cell_idx", r6("G02"), r6("G41"), "absent")
+
+
+@query
+def listed_targets(spark, d):
+    return summaries.target_genes(A.genes(spark), ["G40", "G03", "G21", "nope", "G60"], 3).select(F.col("gene_idx").cast("long").alias("gene_idx"), "gene")
+
+
+@query
+def condition_cells(spark, d):
+    return A.cells(spark, d).where(F.col("condition") == "cond 1").select("cell_idx", "cell_id")
+
+
+@query
+def highlighted_cells(spark, d):
+    return summaries.highlighted(A.cells(spark, d), ["type_1", "type_3"])
+
+
+@query
+def flat_map_rows(spark, d):
+    return summaries.flat_maps(summaries.spatial_map(A.cells(spark, d), 8, 8), 8, 8).select("cell_idx", "column", r6("value"))
+
+
+@query
+def active_terms(spark, d):
+    b = A.betas(spark).withColumn("beta", F.when(F.col("a") < "G05", 0.0).otherwise(F.col("beta")))
+    return B.active_terms(b).select(F.col("cluster").cast("long").alias("cluster"), "target", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"), r6("beta"))
+
+
+@query
+def signal_max(spark, d):
+    e = A.expression(spark, d)
+    return perturb.elementwise_max(e.where("gene < 'G04'"), e.where("gene BETWEEN 'G02' AND 'G05'").withColumn("value", F.col("value") - 0.1)).select("cell_idx", "gene", r6("value"))
+
+
+@query
+def masked_design(spark, d):
+    """The design with the factors set to 0 that the cell types' priors don't allow."""
+    edges = A.network(spark)
+    priors = edges.where("edge_type = 'grn' AND edge_order % 3 = 0").select("source", "target", F.concat(F.lit("type_"), (F.col("edge_order") % 2).cast("string")).alias("cell_type"))
+    types = spark.range(A.CLUSTERS).select(F.col("id").alias("cluster"), F.concat(F.lit("type_"), (F.col("id") % 5).cast("string")).alias("cell_type"))
+    long, _ = _design_long(spark, d)
+    return network.masked(long, network.with_prior_masks(A.design_terms(spark), priors, types)).select("target", "cell_idx", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"), r6("x"))
+
+
+@query
+def pair_terms_only(spark, d):
+    edges, targets = A.network(spark), A.genes(spark).where("gene_idx % 8 = 0").select(F.col("gene").alias("target"))
+    return network.modulator_terms(network.regulators(edges), network.lr_pairs(edges), _tfl(spark), targets, use=("lr",))
+
+
+@query
+def lr_pair_keys(spark, d):
+    return network.pair_keys(A.network(spark))
+
+
+@query
+def context_gene_set(spark, d):
+    return network.context_genes(A.design_terms(spark), "G16")
+
+
+@query
+def channel_mean(spark, d):
+    return summaries.gene_expression(A.cells(spark, d), A.expression(spark, d), "G09").agg(F.round(F.avg("value"), 6).alias("mean"))

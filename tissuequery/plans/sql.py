@@ -166,3 +166,32 @@ mm AS (SELECT CASE WHEN max(greatest(abs(u), abs(v))) > 1e-36 THEN 0.85 / max(gr
     "user_event_matrix": "SELECT user_id AS cell_idx, event_type AS gene, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "supplier_part_matrix": "SELECT l_suppkey AS cell_idx, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
 }
+
+MASKS = """pr AS (SELECT DISTINCT source, target, 'type_' || (edge_order % 2) AS cell_type FROM network WHERE edge_type = 'grn' AND edge_order % 3 = 0),
+mk AS (SELECT DISTINCT t.target, t.a, c.c AS cluster FROM terms t, range(10) c(c) WHERE term_type = 'tf' AND EXISTS (SELECT 1 FROM pr WHERE pr.target = t.target AND pr.cell_type = 'type_' || (c.c % 5)) AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.target = t.target AND pr.cell_type = 'type_' || (c.c % 5) AND pr.source = t.a))"""
+
+SQL |= {
+    "name_rules": r"""SELECT p_partkey, translate(p_type, '/\: ', '____') AS file, translate(printf('%.6f', p_retailprice - 1000), '-.', 'mp') AS value, round(p_retailprice * 10) / 10 AS rounded, format('{:,}', p_partkey * 1000) AS shown,
+  CASE WHEN p_partkey % 3 = 2 THEN p_retailprice ELSE 0 END AS finite, CASE WHEN p_size > 10 THEN p_size::VARCHAR ELSE '' END AS label,
+  list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(p_brand, ''), lambda x: ascii(x)::HUGEINT)), lambda h, c: (h * 33 + c) % 4294967296)::BIGINT AS hash FROM part""",
+    "pair_names": """SELECT p_partkey, CASE WHEN p_partkey % 4 IN (2, 3) THEN trim(p_brand) END AS first, CASE WHEN p_partkey % 4 IN (2, 3) THEN trim(p_type) END AS second, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '') ELSE '' END AS gene FROM part""",
+    "interaction_labels": with_(GENES, TERMS) + "SELECT target, a || CASE term_type WHEN 'lr' THEN ' – ' || b WHEN 'tfl' THEN ' → ' || b ELSE '' END AS label FROM terms",
+    "value_ranges": with_(CELLS, "o AS (SELECT abs(y) AS v, row_number() OVER (ORDER BY abs(y)) - 1 AS k, count(*) OVER () AS n FROM cells), q AS (SELECT max(v) FILTER (k = floor(0.999 * (n - 1))) AS s FROM o)") + "SELECT round(min(x), 6) AS low, round(max(x), 6) AS high, round(-any_value(s), 6) AS left, round(any_value(s), 6) AS right FROM cells, q",
+    "lasso_prox": """WITH e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS w FROM embeddings), s AS (SELECT vec_id, k // 32 AS g, sign(w) * greatest(0, abs(w) - 0.05::DOUBLE) AS w FROM e),
+n AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY vec_id, g)) AS size, CASE g WHEN 0 THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS reg FROM s), z AS (SELECT vec_id, g, CASE WHEN size > 0 THEN w * greatest(0, 1 - reg / size) ELSE w END AS w FROM n)
+SELECT vec_id, round(sum(w) FILTER (g = 0), 6) AS first, round(sum(abs(w)), 6) AS size, count(*) FILTER (w = 0) AS zeros FROM z GROUP BY vec_id""",
+    "gated_fit": with_(*PREDICTED, """q AS (SELECT target, cluster, CASE WHEN var_pop(y) * count(*) > 1e-15 THEN 1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(*)) ELSE 0 END AS r FROM predicted GROUP BY target, cluster),
+g AS (SELECT target, cluster, CASE WHEN cluster % 2 = 0 THEN abs(r) ELSE r END AS r2 FROM q)""") + "SELECT target, cluster::BIGINT AS cluster, round(CASE WHEN r2 < 0.1 THEN 0 ELSE r2 END, 5) AS r2, CASE WHEN r2 < 0.1 THEN 0.0 ELSE 0.5 END::DOUBLE AS intercept, CASE WHEN r2 < 0.1 THEN 0.0 ELSE 2.0 END::DOUBLE AS second FROM g",
+    "expression_columns": with_(GENES, DENSE) + "SELECT cell_idx, round(max(value) FILTER (gene = 'G02'), 6) AS G02, round(max(value) FILTER (gene = 'G41'), 6) AS G41, 0.0::DOUBLE AS absent FROM dense GROUP BY cell_idx",
+    "listed_targets": with_(GENES) + "SELECT gene_idx, gene FROM genes WHERE gene IN ('G40', 'G03', 'G21', 'G60') ORDER BY gene_idx LIMIT 3",
+    "condition_cells": with_(CELLS) + "SELECT cell_idx, cell_id FROM cells WHERE condition = 'cond 1'",
+    "highlighted_cells": with_(CELLS) + "SELECT cell_idx, cell_type IN ('type_1', 'type_3') AS keep FROM cells",
+    "flat_map_rows": with_(CELLS, "b AS (SELECT min(x) AS x0, max(y) AS y1, greatest(max(x) - min(x), 1e-6) / 8 AS w, greatest(max(y) - min(y), 1e-6) / 8 AS h FROM cells)") + "SELECT cell_idx, (cluster * 64 + i * 8 + j)::BIGINT AS column, round(1 / greatest(sqrt(pow(x - (x0 + (j + 0.5) * w), 2) + pow(y - (y1 - (i + 0.5) * h), 2)), 1e-6), 6) AS value FROM cells, b, range(8) p(i), range(8) q(j)",
+    "active_terms": with_(*MODEL) + "SELECT cluster::BIGINT AS cluster, target, term_type, a, coalesce(b, '') AS b, round(beta, 6) AS beta FROM betas x WHERE a >= 'G05' AND EXISTS (SELECT 1 FROM betas y WHERE y.target = x.target AND y.term_type = x.term_type AND y.a = x.a AND y.b IS NOT DISTINCT FROM x.b AND y.beta <> 0)",
+    "signal_max": with_(GENES, EXPRESSION) + "SELECT cell_idx, gene, round(greatest(CASE WHEN gene < 'G04' THEN value ELSE 0 END, CASE WHEN gene >= 'G02' THEN value - 0.1::DOUBLE ELSE 0 END, 0), 6) AS value FROM expression WHERE gene <= 'G05'",
+    "masked_design": with_(*DESIGN, NETWORK, MASKS) + "SELECT d.target, d.cell_idx, d.term_type, d.a, coalesce(d.b, '') AS b, round(CASE WHEN mk.a IS NULL THEN d.x ELSE 0 END, 6) AS x FROM design d JOIN cells c ON c.cell_idx = d.cell_idx LEFT JOIN mk ON d.term_type = 'tf' AND mk.target = d.target AND mk.a = d.a AND mk.cluster = c.cluster",
+    "pair_terms_only": with_(GENES, NETWORK, PICK, "t AS (SELECT gene AS target FROM genes WHERE gene_idx % 8 = 0)") + "SELECT target, 'lr' AS term_type, ligand AS a, receptor AS b FROM lrp, t WHERE ligand <> target AND receptor <> target",
+    "lr_pair_keys": with_(GENES, NETWORK) + "SELECT DISTINCT source || '$' || target AS pair FROM network WHERE edge_type = 'lr'",
+    "context_gene_set": with_(GENES, TERMS) + "SELECT DISTINCT g AS gene FROM (SELECT a AS g FROM terms WHERE target = 'G16' UNION ALL SELECT b FROM terms WHERE target = 'G16' AND b IS NOT NULL UNION ALL SELECT 'G16')",
+    "channel_mean": with_(GENES, DENSE) + "SELECT round(avg(value), 6) AS mean FROM dense WHERE gene = 'G09'",
+}
