@@ -32,4 +32,4 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 def test_all_queries_are_covered():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) <= {"moran_p", "lasso_fit"}
+    assert set(QUERIES) - set(SQL) <= {"moran_p", "lasso_fit", "train_all", "train_with_priors"}

@@ -1,7 +1,9 @@
 """Sparse-group lasso by accelerated proximal gradient, one fit a target and cluster.
 
-Minimises (1/2n) |Xw - y|^2 + sum over groups of reg_g |w_g| + l1 |w|_1; an intercept is taken out by centring. Fits
-run in applyInPandas over (target, cluster): a group's design is rows of one array each.
+Minimises (1/2n) |Xw - y|^2 + sum over groups of reg_g |w_g| + l1 |w|_1; an intercept is taken out by centring. A fit
+needs the centred cross products of its columns only, which add up over parts of the rows: `training` sums them where
+the cells are, so that no task holds a design. fit_groups takes a design that is there already, (target, cluster) by
+(target, cluster).
 """
 
 from __future__ import annotations
@@ -45,29 +47,59 @@ def penalty(w: np.ndarray, l1: float, group_regs: dict[int, float], groups: np.n
     return float(sum(reg * np.sqrt((w[groups == g] ** 2).sum()) for g, reg in group_regs.items()) + l1 * np.abs(w).sum())
 
 
-def fit(x: np.ndarray, y: np.ndarray, groups: np.ndarray, l1: float = 1e-5, group_reg: float = 1e-5, iterations: int = 500, tolerance: float = 1e-5, intercept: bool = True, scaling: str = "size") -> dict:
-    """coef, intercept, converged, iterations, r2, mse. Restarts the momentum where it points uphill and halves the
-    step until the quadratic bound holds."""
-    n, p = x.shape
-    mx, my = (x.mean(0), float(y.mean())) if intercept else (np.zeros(p), 0.0)
-    xc, yc = x - mx, y - my
-    regs = group_strengths(groups, group_reg, scaling)
-    lip = max(1e-12, 1.5 * (np.linalg.norm(xc, 2) ** 2) / n) if p and n else 1.0
+def checked_groups(groups, width: int) -> np.ndarray:
+    """A group for each feature; without any, every feature is a group of its own."""
+    if groups is None or not len(groups):
+        return np.arange(width)
+    if len(groups) != width:
+        raise ValueError(f"{len(groups)} groups for {width} features")
+    return np.asarray(groups, np.int64)
+
+
+def moments(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, centred cross products) of the columns of x and, last, y: all that a fit needs."""
+    z = np.column_stack([x, y])
+    mean = z.mean(0) if len(z) else np.zeros(z.shape[1])
+    z = z - mean
+    return len(z), mean, z.T @ z
+
+
+def merged(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """The moments of two sets of rows together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return b if not a[0] else a
+    step = b[1] - a[1]
+    return n, a[1] + step * (b[0] / n), a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n)
+
+
+def fit_moments(n: int, mean: np.ndarray, cross: np.ndarray, groups=None, l1: float = 1e-5, group_reg: float = 1e-5, iterations: int = 500, tolerance: float = 1e-5, intercept: bool = True, scaling: str = "size", group_regs: dict[int, float] | None = None, bound: str = "singular") -> dict:
+    """coef, intercept, converged, iterations, r2, mse. Restarts the momentum where it points uphill and doubles the
+    curvature until the quadratic bound holds. A step costs the square of the number of features, whatever n is.
+    group_regs: penalties as they are, instead of group_reg scaled by size. bound: the first curvature, 1.5 times the
+    largest singular value's square ("singular") or the sum of squares ("frobenius")."""
+    p = len(mean) - 1
+    groups = checked_groups(groups, p)
+    full = cross if intercept else cross + n * np.outer(mean, mean)
+    regs = group_strengths(groups, group_reg, scaling) if group_regs is None else group_regs
+    size = max(n, 1)
+    gram, xy, yy = full[:p, :p] / size, full[:p, p] / size, float(full[p, p]) / size
+    top = 0.0 if not p else float(np.trace(gram)) if bound == "frobenius" else 1.5 * float(np.linalg.eigvalsh(gram)[-1])
+    lip = max(1e-12, top)
 
     def smooth(w):
-        r = xc @ w - yc
-        return float(r @ r) / (2 * n)
+        return 0.5 * float(w @ (gram @ w)) - float(xy @ w) + 0.5 * yy
 
     w = z = np.zeros(p)
     t, done, k = 1.0, p == 0, 0
     for k in range(1, iterations + 1):
         if done:
             break
-        gradient, at = xc.T @ (xc @ z - yc) / n, smooth(z)
+        gradient, at = gram @ z - xy, smooth(z)
         while True:
             new = prox(z - gradient / lip, l1 / lip, {g: r / lip for g, r in regs.items()}, groups)
             step = new - z
-            if smooth(new) <= at + gradient @ step + lip / 2 * (step @ step) + 1e-15:
+            if smooth(new) <= at + gradient @ step + lip / 2 * (step @ step) + 1e-15 * max(1.0, yy):
                 break
             lip *= 2
         if (z - new) @ (new - w) > 0:
@@ -76,9 +108,14 @@ def fit(x: np.ndarray, y: np.ndarray, groups: np.ndarray, l1: float = 1e-5, grou
         z = new + (t - 1) / nt * (new - w)
         done = np.linalg.norm(new - w) <= tolerance * max(1e-12, np.linalg.norm(new))
         w, t = new, nt
-    r = xc @ w - yc
-    tot = float(((y - y.mean()) ** 2).sum()) if n else 0.0
-    return {"coef": w, "intercept": my - float(mx @ w), "converged": bool(done), "iterations": k, "r2": 1 - float(r @ r) / tot if tot > 0 else 0.0, "mse": float(r @ r) / n if n else 0.0}
+    mse = max(0.0, 2 * smooth(w))
+    var = float(cross[p, p]) / size
+    return {"coef": w, "intercept": float(mean[p] - mean[:p] @ w) if intercept else 0.0, "converged": bool(done), "iterations": k, "r2": 1 - mse / var if var > 0 else 0.0, "mse": mse if n else 0.0}
+
+
+def fit(x: np.ndarray, y: np.ndarray, groups=None, *args, **options) -> dict:
+    """The fit of arrays in memory; fit_moments names the options."""
+    return fit_moments(*moments(x, y), groups, *args, **options)
 
 
 def fit_groups(design: DataFrame, **options) -> DataFrame:

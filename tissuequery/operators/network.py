@@ -60,6 +60,17 @@ def with_prior_masks(terms: DataFrame, priors: DataFrame, cluster_types: DataFra
     return out.select("target", "a", "cluster", (F.col("listed").isNull() | F.col("has").isNotNull()).alias("allowed"))
 
 
+def with_prior_factors(terms: DataFrame, priors: DataFrame) -> DataFrame:
+    """terms (target, term_type, a, b) where a target with priors of any cell type has those factors instead of the
+    network's, and of its ligand-factor pairs those whose factor is listed. Other targets and pairs stay."""
+    listed = priors.join(terms.select("target").distinct(), "target", "left_semi").select("target", F.col("source").alias("f")).distinct()
+    has = listed.select("target").distinct().withColumn("_has", F.lit(True))
+    factor = F.when(F.col("term_type") == "tfl", F.col("b"))
+    own = terms.select("target", "term_type", "a", "b").withColumn("f", factor).join(has, "target", "left").join(listed.withColumn("_in", F.lit(True)), ["target", "f"], "left")
+    kept = own.where(F.col("_has").isNull() | (F.col("term_type") == "lr") | (F.col("term_type") == "tfl") & F.col("_in"))
+    return kept.select("target", "term_type", "a", "b").union(listed.select("target", F.lit("tf"), "f", F.lit(None).cast("string")))
+
+
 def masked(design: DataFrame, masks: DataFrame) -> DataFrame:
     """design (target, cluster, term_type, a, x, ...) with x = 0 where a factor isn't allowed in the cell's cluster.
     masks: with_prior_masks."""

@@ -58,12 +58,15 @@ def condition_groups(cells: DataFrame) -> DataFrame:
     return groups.select("condition", F.when(rank == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), rank.cast("string"))).alias("directory"), "n")
 
 
-def scaled_by_cluster(cells: DataFrame, values: DataFrame) -> DataFrame:
-    """cell_idx, scaled: min-max within the cluster; a cluster of zeros has no signal (null), of equal values 0.5."""
+def scaled_by_cluster(cells: DataFrame, values: DataFrame, symmetric: bool = False) -> DataFrame:
+    """cell_idx, scaled: min-max within the cluster, or symmetric about 0 by the largest size; a cluster of zeros has no
+    signal (null), of equal values 0.5 where not symmetric."""
     by = Window.partitionBy("cluster")
     v = values.join(cells.select("cell_idx", "cluster"), "cell_idx").select("cell_idx", "value", F.min("value").over(by).alias("lo"), F.max("value").over(by).alias("hi"))
-    scaled = F.when((F.col("lo") == 0) & (F.col("hi") == 0), None).when(F.col("hi") - F.col("lo") < 1e-12, 0.5).otherwise((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return v.select("cell_idx", scaled.alias("scaled"))
+    low, high = F.col("lo"), F.col("hi")
+    most = F.greatest(F.abs(low), F.abs(high))
+    scaled = (F.col("value") + most) / (2 * most) if symmetric else F.when(high - low < 1e-12, 0.5).otherwise((F.col("value") - low) / (high - low))
+    return v.select("cell_idx", F.when(most > 0, scaled).alias("scaled"))
 
 
 def rank_quantiles(values: DataFrame, quantiles: dict[str, float]) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, display
 from ..operators import betas as B
-from ..operators import context, kernel, lasso, neighbors, network, perturb, summaries, transition
+from ..operators import context, kernel, lasso, neighbors, network, perturb, summaries, training, transition
 from ..sources import adapters as A
+from ..sources.config import Config
 from ..sources.tables import cut, read
+from .train import Run
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -306,10 +308,14 @@ def moran_p(spark, d):
     return neighbors.moran_permutations(e, neighbors.symmetric(neighbors.nearest(A.cells(spark, d), 6)), genes, 99).select("gene", r6("moran_i"), "p")
 
 
-def _corr(spark, d):
+def _delta(spark, d):
     dense = _dense(spark, d)
     delta = perturb.quick_delta(dense, "G12", 0.0).withColumn("delta", F.when(F.col("gene") == "G20", 0.1).otherwise(F.col("delta")))
-    return transition.correlations(_knn(spark, d).select("i", "j"), transition.vectors(dense, "value"), transition.vectors(delta, "delta"))
+    return transition.vectors(dense, "value"), transition.vectors(delta, "delta")
+
+
+def _corr(spark, d):
+    return transition.correlations(_knn(spark, d).select("i", "j"), *_delta(spark, d))
 
 
 @query
@@ -558,3 +564,68 @@ def context_gene_set(spark, d):
 @query
 def channel_mean(spark, d):
     return summaries.gene_expression(A.cells(spark, d), A.expression(spark, d), "G09").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query
+def all_correlations(spark, d):
+    return transition.all_correlations(*_delta(spark, d)).select("i", "j", r6("corr"))
+
+
+@query
+def cross_products(spark, d):
+    """What the fits of all targets are made of: each term's centred products with itself and the target."""
+    cells, terms = A.cells(spark, d), A.design_terms(spark).select("target", "term_type", "a", "b")
+    index = {g: i for i, g in enumerate(f"G{i:02d}" for i in range(A.GENES))}
+    batch = [s for _, s in sorted(training.specs(terms.collect(), index, LIGANDS).items())]
+    sums = training.summed(training.cell_table(cells, A.expression(spark, d), A.genes(spark), LIGANDS, RADIUS), batch)
+
+    def run(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                m = np.frombuffer(r.cross).reshape(-1, len(r.mean) // 8)
+                yield pd.DataFrame({"target": batch[r.k]["target"], "cluster": r.cluster, "term": batch[r.k]["names"], "n": r.n, "xx": np.diag(m)[:-1], "xy": m[:-1, -1]})
+
+    return sums.mapInPandas(run, "target string, cluster long, term string, n long, xx double, xy double").select("target", "cluster", "term", "n", F.round("xx", 5).alias("xx"), F.round("xy", 5).alias("xy"))
+
+
+def _run(spark, d, **more):
+    return Run(A.cells(spark, d), A.expression(spark, d), A.genes(spark), A.network(spark), Config.parse("[lasso]\nl1 = 1e-4\ngroup = 1e-4"), **more)
+
+
+def _priors(spark):
+    priors = A.network(spark).where("edge_type = 'nichenet' AND edge_order % 7 = 0").select("source", "target", F.concat(F.lit("type_"), (F.col("edge_order") % 2).cast("string")).alias("cell_type"))
+    types = spark.range(A.CLUSTERS).select(F.col("id").alias("cluster"), F.concat(F.lit("type_"), (F.col("id") % 5).cast("string")).alias("cell_type"))
+    return priors, types
+
+
+@query
+def run_terms(spark, d):
+    """A run's terms of all genes, where the priors' factors take the place of the network's."""
+    priors, types = _priors(spark)
+    return _run(spark, d, priors=priors, cluster_types=types).terms(A.genes(spark)).select("target", "term_type", "a", F.coalesce("b", F.lit("")).alias("b"))
+
+
+@query
+def train_all(spark, d):
+    """The coefficients of all 64 genes, as their files hold them."""
+    return training.coefficients(_run(spark, d).all_fits(A.genes(spark))).select("target", F.col("row_id").cast("long").alias("cluster"), "term", F.round("beta", 4).alias("beta"))
+
+
+@query
+def train_with_priors(spark, d):
+    priors, types = _priors(spark)
+    return training.coefficients(_run(spark, d, priors=priors, cluster_types=types, use=("tf",)).all_fits(A.genes(spark))).select("target", F.col("row_id").cast("long").alias("cluster"), "term", F.round("beta", 4).alias("beta"))
+
+
+@query
+def colours(spark, d):
+    c = A.cells(spark, d)
+    low, high = F.lit(-40.0), F.lit(60.0)
+    maps = {n: display.rgb(F.col("x"), low, high, n) for n in ("viridis", "magma", "diverging")} | {"category": display.category_rgb(F.col("cluster"), A.CLUSTERS)}
+    return c.select("cell_idx", *(F.concat_ws(",", v.cast("array<string>")).alias(n) for n, v in maps.items()), display.selectable(F.col("cluster"), [True, False, True], 9).alias("selectable"))
+
+
+@query
+def symmetric_by_cluster(spark, d):
+    v = A.cells(spark, d).select("cell_idx", F.col("y").alias("value"))
+    return summaries.scaled_by_cluster(A.cells(spark, d), v, symmetric=True).select("cell_idx", r6("scaled"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import betas as B
 from ..operators import context, neighbors, network, perturb, summaries, transition
+from ..sources import files
+from ..sources.config import Config
+from ..sources.tables import cut
 
 # The routes' limits and the names of aggregates.
 GENE_LIMIT, FULL_LIMIT, INDEX_LIMIT, INTERACTION_LIMIT, FIELD_CELLS, MEAN_GENES = 10_000, 50_000, 250_000, 80_000, 40_000, 200
@@ -29,6 +32,27 @@ class Session:
     edges: DataFrame | None = None
     betas: DataFrame | None = None
     radii: dict[str, float] = dataclasses.field(default_factory=dict)
+    settings: Config | None = None
+
+    @classmethod
+    def from_run(cls, folder: str, cells: DataFrame, expression: DataFrame, genes: DataFrame, edges: DataFrame | None = None, settings: Config | None = None) -> Session:
+        """The session of a run's folder: its coefficient files, the one configured radius for every ligand of a term, its
+        settings (the folder's own unless given). Raises where no file can be read, a file is by cell, or a cell's
+        cluster has no coefficients."""
+        spark = cells.sparkSession
+        settings = Config.load(folder) if settings is None else settings
+        read, errors = files.read_coefficients(spark, folder)
+        read = cut(read)
+        if read.isEmpty():
+            raise ValueError("no coefficients in " + folder + "".join(f"; {r['path']}: {r['error']}" for r in errors.limit(3).collect()))
+        if not read.where("row_kind != 'cluster'").isEmpty():
+            raise ValueError("coefficients by cell; a session takes those by cluster")
+        betas = read.select(F.col("row_id").cast("double").cast("int").alias("cluster"), "target", "term_type", "a", "b", "beta")
+        if not cells.join(betas.select("cluster").distinct(), "cluster", "left_anti").isEmpty():
+            raise ValueError("a cell's cluster has no coefficients")
+        pairs = betas.where("term_type IN ('lr', 'tfl')").join(genes.select(F.col("gene").alias("a")), "a", "left_semi")
+        radii = {r["a"]: settings.kernel.radius for r in pairs.select("a").distinct().collect()}
+        return cls(cells, expression, genes, edges, betas, radii, settings)
 
     def _has(self, gene: str) -> None:
         if self.genes.where(F.col("gene") == gene).isEmpty():
@@ -147,6 +171,9 @@ class Session:
         """cell_idx, gene, delta, simulated. Runs as a job group of its own, so that cancel() can stop it."""
         for gene in desired:
             self._has(gene)
+        if self.settings is not None:
+            p = self.settings.perturbation
+            options = {"threshold": p.threshold, "scale": self.settings.kernel.scale, "beta_scale": p.beta_scale, "cap": p.beta_cap, "factor": p.grid_factor} | options
         spark = self.cells.sparkSession
         spark.sparkContext.setJobGroup(JOB_GROUP, "perturbation", True)
         wanted = self.scoped(scope).select("cell_idx", F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), F.lit(float(v)).alias("desired")) for g, v in desired.items()))).alias("w")).select("cell_idx", "w.gene", "w.desired")

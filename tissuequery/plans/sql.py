@@ -195,3 +195,29 @@ g AS (SELECT target, cluster, CASE WHEN cluster % 2 = 0 THEN abs(r) ELSE r END A
     "context_gene_set": with_(GENES, TERMS) + "SELECT DISTINCT g AS gene FROM (SELECT a AS g FROM terms WHERE target = 'G16' UNION ALL SELECT b FROM terms WHERE target = 'G16' AND b IS NOT NULL UNION ALL SELECT 'G16')",
     "channel_mean": with_(GENES, DENSE) + "SELECT round(avg(value), 6) AS mean FROM dense WHERE gene = 'G09'",
 }
+
+STOPS = {
+    "viridis": "[[68, 1, 84], [72, 40, 120], [62, 74, 137], [49, 104, 142], [38, 130, 142], [31, 158, 137], [53, 183, 121], [109, 205, 89], [183, 222, 39], [253, 231, 37]]",
+    "magma": "[[0, 0, 4], [40, 11, 84], [101, 13, 99], [156, 37, 99], [205, 71, 93], [238, 116, 84], [251, 173, 81], [252, 229, 91], [252, 253, 191]]",
+    "diverging": "[[49, 54, 149], [247, 247, 247], [165, 0, 38]]",
+}
+
+
+def colour(name: str, t: str) -> str:
+    n = STOPS[name].count("],")
+    k = f"least(floor({t} * {n}), {n - 1})::INT"
+    return f"(SELECT array_to_string(list_transform([1, 2, 3], lambda c: floor(s[{k} + 1][c] + (s[{k} + 2][c] - s[{k} + 1][c]) * ({t} * {n} - {k}) + 0.5)::INT), ',') FROM (SELECT {STOPS[name]} AS s)) AS {name}"
+
+
+PLACE = "greatest(0, least(1, (x + 40) / 100))"
+SQL |= {
+    "all_correlations": with_(CELLS, GENES, DENSE, "knn AS (SELECT a.cell_idx AS i, b.cell_idx AS j FROM cells a, cells b)", CORR[-1]) + "SELECT i, j, round(corr, 6) AS corr FROM corr",
+    "cross_products": with_(*DESIGN) + """SELECT target, c.cluster::BIGINT AS cluster, 'beta_' || a || CASE term_type WHEN 'lr' THEN '$' || b WHEN 'tfl' THEN '#' || b ELSE '' END AS term, count(*) AS n,
+  round(var_pop(design.x) * count(*), 5) AS xx, round(covar_pop(design.x, e.value) * count(*), 5) AS xy FROM design JOIN cells c USING (cell_idx) JOIN dense e ON e.cell_idx = design.cell_idx AND e.gene = target GROUP BY ALL""",
+    "run_terms": with_(GENES, NETWORK, PICK, "pr AS (SELECT DISTINCT source, target FROM network WHERE edge_type = 'nichenet' AND edge_order % 7 = 0)") + """SELECT target, 'tf' AS term_type, tf AS a, '' AS b FROM regs WHERE target NOT IN (SELECT target FROM pr)
+  UNION ALL SELECT target, 'tf', source, '' FROM pr UNION ALL SELECT gene, 'lr', ligand, receptor FROM lrp, genes WHERE ligand <> gene AND receptor <> gene
+  UNION ALL SELECT target, 'tfl', ligand, tf FROM tfl WHERE target NOT IN (SELECT target FROM pr) OR EXISTS (SELECT 1 FROM pr WHERE pr.target = tfl.target AND pr.source = tfl.tf)""",
+    "colours": with_(CELLS, f"h AS (SELECT cell_idx, cluster, {PLACE} AS t, greatest(0, least(1, (x + 60) / 120)) AS u, cluster * 0.618033988749895::DOUBLE % 1 * 12 AS a FROM cells)") + f"""SELECT cell_idx, {colour('viridis', 't')}, {colour('magma', 't')}, {colour('diverging', 'u')},
+  array_to_string(list_transform([0, 8, 4], lambda o: floor((0.52 - 0.72 * 0.48 * greatest(-1, least((a + o) % 12 - 3, 9 - (a + o) % 12, 1))) * 255 + 0.5)::INT), ',') AS category, cluster <> 1 AS selectable FROM h""",
+    "symmetric_by_cluster": with_(CELLS, "m AS (SELECT cell_idx, y, max(abs(y)) OVER (PARTITION BY cluster) AS m FROM cells)") + "SELECT cell_idx, round((y + m) / (2 * m), 6) AS scaled FROM m",
+}

@@ -8,7 +8,15 @@ import os
 import tomllib
 from pathlib import Path
 
-CONFIG_NAMES = ("spaceship_config.toml", "SpaceshipConfig.toml")  # fixed values: file names that runs use
+CONFIG_PATTERNS = ("*_config.toml", "*Config.toml")  # file names that runs use, the first kind first
+# Sections and keys of the run settings format, and the settings here that they mean.
+FORMAT = {
+    "data.adata_path": "data.path", "data.cluster_annot": "data.cluster", "spatial.radius": "kernel.radius", "spatial.weighted_ligand_scale_factor": "kernel.scale",
+    "grn.network_data_dir": "data.network_dir", "grn.tf_ligand_cutoff": "kernel.tf_ligand_cutoff", "grn.top_lr_pairs_by_mean_expression": "kernel.max_lr_pairs",
+    "lasso.l1_reg": "lasso.l1", "lasso.group_reg": "lasso.group", "lasso.n_iter": "lasso.iterations", "lasso.tol": "lasso.tolerance", "training.score_threshold": "lasso.least_r2",
+    "perturbation.n_propagation": "perturbation.rounds", "perturbation.beta_scale_factor": "perturbation.beta_scale", "perturbation.beta_cap": "perturbation.beta_cap",
+    "perturbation.ligand_grid_factor": "perturbation.grid_factor", "execution.output_dir": "data.output_dir",
+}
 
 
 @dataclasses.dataclass(frozen=True)
@@ -68,6 +76,7 @@ class Perturbation:
     threshold: float = 1e-9
     beta_scale: float = 1.0
     beta_cap: float | None = None
+    grid_factor: float | None = None
 
     def for_request(self, rounds: int | None) -> Perturbation:
         return self if rounds is None else dataclasses.replace(self, rounds=min(max(rounds, 1), 32))
@@ -83,8 +92,13 @@ class Config:
 
     @classmethod
     def parse(cls, text: str) -> Config:
-        """Every section and key may be missing; unknown ones are ignored."""
+        """Every section and key may be missing; unknown ones are ignored. Names of the format (FORMAT) count where the
+        name here isn't given."""
         found = tomllib.loads(text)
+        for name, meant in FORMAT.items():
+            (section, key), (own, field) = name.split("."), meant.split(".")
+            if key in found.get(section, {}):
+                found.setdefault(own, {}).setdefault(field, found[section][key])
         parts = {}
         for f in dataclasses.fields(cls):
             kind = type(getattr(cls(), f.name))
@@ -95,9 +109,9 @@ class Config:
     @classmethod
     def load(cls, folder: str = ".") -> Config:
         """The first readable settings file of the folder, else the defaults."""
-        for name in CONFIG_NAMES:
+        for path in (p for kind in CONFIG_PATTERNS for p in sorted(Path(folder).glob(kind))):
             try:
-                return cls.parse((Path(folder) / name).read_text())
+                return cls.parse(path.read_text())
             except (OSError, tomllib.TOMLDecodeError, TypeError):
                 continue
         return cls()
