@@ -27,12 +27,13 @@ THRESHOLD = 1e-9
 
 
 def wide(cells: DataFrame, values: DataFrame, ligands: list[str], threshold: float | None = None) -> DataFrame:
-    """cell_idx, x, y and one column a ligand (l0, l1, ...), zero where a cell has none."""
+    """cell_idx, x, y, one column a ligand (l0, l1, ...), zero where a cell has none, and some: whether one isn't zero.
+    (A filter over all the columns would make the optimizer's constraints grow exponentially with the ligands.)"""
     v = F.col("value") if threshold is None else F.when(F.col("value") > threshold, F.col("value")).otherwise(0.0)
     sums = [F.sum(F.when(F.col("gene") == g, v)).alias(f"l{k}") for k, g in enumerate(ligands)]
-    pivoted = values.where(F.col("gene").isin(ligands)).groupBy("cell_idx").agg(*sums)
+    pivoted = values.where(F.col("gene").isin(ligands)).groupBy("cell_idx").agg(*sums, F.max(v != 0).alias("some"))
     out = cells.select("cell_idx", "x", "y").join(pivoted, "cell_idx", "left")
-    return out.select("cell_idx", "x", "y", *(F.coalesce(f"l{k}", F.lit(0.0)).alias(f"l{k}") for k in range(len(ligands))))
+    return out.select("cell_idx", "x", "y", *(F.coalesce(f"l{k}", F.lit(0.0)).alias(f"l{k}") for k in range(len(ligands))), F.coalesce("some", F.lit(False)).alias("some"))
 
 
 def _long(df: DataFrame, ligands: list[str], keys: list[str]) -> DataFrame:
@@ -98,9 +99,7 @@ def exact(cells: DataFrame, values: DataFrame, ligands: list[str], radii: list[f
     """cell_idx, gene, value of every cell and ligand."""
     sources = wide(cells, values, ligands, threshold)
     n = cells.count() if n is None else n
-    some = F.greatest(*(F.col(f"l{k}") for k in range(len(ligands))), F.lit(0.0)) != 0
-    some = some | (F.least(*(F.col(f"l{k}") for k in range(len(ligands))), F.lit(0.0)) != 0)
-    got = _summed(cells.select("cell_idx", "x", "y"), sources.where(some), radii, "cell_idx", scale, n)
+    got = _summed(cells.select("cell_idx", "x", "y"), sources.where("some"), radii, "cell_idx", scale, n)
     got = cells.select("cell_idx").join(got, "cell_idx", "left").select("cell_idx", *(F.coalesce(f"l{k}", F.lit(0.0)).alias(f"l{k}") for k in range(len(ligands))))
     return _long(got, ligands, ["cell_idx"])
 
@@ -118,7 +117,7 @@ def on_grid(cells: DataFrame, values: DataFrame, ligands: list[str], radius: flo
         return exact(cells, values, ligands, [radius] * len(ligands), scale, threshold, n)
     sources = wide(cells, values, ligands, threshold)
     places = cells.sparkSession.range(nx * ny).select(F.col("id").alias("anchor"), (F.lit(x0) + (F.col("id") % nx) * F.lit(step)).alias("x"), (F.lit(y0) + F.floor(F.col("id") / nx) * F.lit(step)).alias("y"))
-    anchors = _summed(places, sources, [radius] * len(ligands), "anchor", scale, n, nx * ny)
+    anchors = _summed(places, sources.where("some"), [radius] * len(ligands), "anchor", scale, n, nx * ny)
     gx, gy = (F.col("x") - F.lit(x0)) / F.lit(step), (F.col("y") - F.lit(y0)) / F.lit(step)
     placed = cells.select("cell_idx", F.floor(gx).alias("ix"), F.floor(gy).alias("iy"), gx.alias("gx"), gy.alias("gy")).withColumn("fx", F.col("gx") - F.col("ix")).withColumn("fy", F.col("gy") - F.col("iy"))
     corner = F.explode(
