@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuequery.functions import display
+from tissuequery.operators import betas as B
 from tissuequery.operators import lasso, network, training
 from tissuequery.plans import train
 from tissuequery.plans.queries import _design
@@ -157,3 +158,21 @@ def test_views_and_means(spark):
     got = [r[0] for r in one.select(display.rgb(F.col("v"), F.lit(1.0), F.lit(1.0))).collect()]
     assert got == [[128, 128, 128], [128, 128, 128], [35, 144, 140]]
     assert spark.range(1).select(display.category_rgb(F.col("id"), 0)).first()[0] == [100, 100, 110]
+
+
+def test_derivatives_without_a_broadcast_and_of_known_ligands(spark, sf_dir, monkeypatch):
+    cells, e = A.cells(spark, sf_dir), A.expression(spark, sf_dir)
+    received = e.where("gene < 'G08'")
+
+    def slopes(**k):
+        return {tuple(r)[:3]: r["deriv"] for r in B.splash(cells, A.betas(spark), e, received, received, **k).collect()}
+
+    want = slopes()
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 10)
+    assert slopes() == pytest.approx(want, abs=1e-12)
+    one = spark.createDataFrame([(0, "T", "lr", "L", "R", 1.0), (0, "T", "lr", "M", "R", 1.0), (0, "T", "tf", "F", None, 1.0)], "cluster int, target string, term_type string, a string, b string, beta double")
+    c = spark.createDataFrame([(0, 0)], "cell_idx long, cluster int")
+    v = spark.createDataFrame([(0, "R", 2.0)], "cell_idx long, gene string, value double")
+    rw = spark.createDataFrame([(0, "L", 3.0)], "cell_idx long, gene string, value double")
+    got = {r["gene"]: r["deriv"] for r in B.splash(c, one, v, rw, rw, ligands=["L"]).collect()}
+    assert got == {"F": 1.0, "L": 2.0, "R": 3.0}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of coefficients (some 100 bytes each) up to which they are broadcast, and the parts of a cluster beyond.
+BROADCAST_ROWS, SALTS = 500_000, 64
+
 
 def cell_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """cell_idx, row_id: cells by cluster if every cell's cluster is a row, else by cell id for all cells (no row: null).
@@ -44,12 +47,24 @@ def top_coefficients(cells: DataFrame, betas: DataFrame, selected: DataFrame, k:
     return out.select("term", F.round("mean", 9).alias("mean"), F.round("mean_abs", 9).alias("mean_abs")).orderBy(F.desc("mean_abs"), "term").limit(k)
 
 
-def splash(cells: DataFrame, betas: DataFrame, expression: DataFrame, received_lr: DataFrame, received_tfl: DataFrame, scale: float = 1.0, cap: float | None = None) -> DataFrame:
-    """cell_idx, target, gene, deriv: derivatives of every target by its modulators. Absent values are 0.
+def by_cluster(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each cell with all rows of its cluster. Up to BROADCAST_ROWS rows are broadcast; more are joined by shuffle, each
+    cluster's cells dealt to SALTS parts, so that a cluster that holds most cells is no single task."""
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return cells.join(F.broadcast(rows), "cluster")
+    dealt = cells.withColumn("_salt", F.pmod(F.xxhash64("cell_idx"), F.lit(SALTS)).cast("int"))
+    return dealt.join(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cluster", "_salt"]).drop("_salt")
+
+
+def splash(cells: DataFrame, betas: DataFrame, expression: DataFrame, received_lr: DataFrame, received_tfl: DataFrame, scale: float = 1.0, cap: float | None = None, ligands: list[str] | None = None) -> DataFrame:
+    """cell_idx, target, gene, deriv: derivatives of every target by its modulators. Absent values are 0; pairs whose
+    ligand is not among `ligands`, the names with received signals (None: all), are dropped.
 
     Every term gives one or two contributions; those to the same gene add up, then the sum is clamped."""
-    terms = F.broadcast(betas.where("term_type != 'intercept'"))
-    own = cells.select("cell_idx", "cluster").join(terms, "cluster")
+    terms = betas.where("term_type != 'intercept'")
+    if ligands is not None:
+        terms = terms.where((F.col("term_type") == "tf") | F.col("a").isin(ligands))
+    own = by_cluster(cells.select("cell_idx", "cluster"), terms)
     value = expression.select("cell_idx", F.col("gene").alias("b"), F.col("value").alias("e"))
     both = own.where("term_type != 'tf'").join(value, ["cell_idx", "b"], "left")
     lr = both.where("term_type = 'lr'").join(received_lr.select("cell_idx", F.col("gene").alias("a"), F.col("value").alias("rw")), ["cell_idx", "a"], "left")
