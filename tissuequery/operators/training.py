@@ -2,7 +2,7 @@
 
 A cell is one row: its cluster, its expressed genes as sparse arrays and its received ligands as an array. Each task
 makes the columns of a batch of targets from its cells, a few at a time, and keeps their cross products by target and
-cluster; these are merged in two steps. So neither designs nor dense matrices are shuffled, and what a task holds
+cluster, or the rows themselves while they are the smaller of the two; these are merged in two steps. So neither designs nor dense matrices are shuffled, and what a task holds
 depends on the terms and clusters, not on the cells. Batches are cut so that it stays below BATCH_BYTES (a target alone
 may exceed it).
 """
@@ -86,15 +86,54 @@ def batches(specs_: dict[str, dict], clusters: int) -> list[list[dict]]:
     return out
 
 
+def grown(held, z: np.ndarray):
+    """What a target and cluster hold, with more rows (the last column is the target): rows while they are no more than
+    half of the cross products, then moments."""
+    if isinstance(held, tuple):
+        return lasso.merged(held, lasso.moments(z[:, :-1], z[:, -1]))
+    z = z if held is None else np.vstack([held, z])
+    return z if 2 * len(z) <= z.shape[1] + 1 else lasso.moments(z[:, :-1], z[:, -1])
+
+
+def joined(a, b):
+    """Two of them together."""
+    if a is None or isinstance(b, np.ndarray):
+        return b if a is None else grown(a, b)
+    return lasso.merged(lasso.moments(a[:, :-1], a[:, -1]) if isinstance(a, np.ndarray) else a, b)
+
+
+def packed(held) -> tuple[int, bytes, bytes]:
+    """(n, mean, cross) as bytes: of moments the upper triangle, of rows no mean and the rows."""
+    if isinstance(held, np.ndarray):
+        return len(held), b"", held.tobytes()
+    n, mean, cross = held
+    return n, mean.tobytes(), cross[np.triu_indices(len(mean))].tobytes()
+
+
+def unpacked(n: int, mean: bytes, cross: bytes):
+    if not mean:
+        return np.frombuffer(cross).reshape(n, -1)
+    m = np.frombuffer(mean)
+    full = np.zeros((len(m), len(m)))
+    full[np.triu_indices(len(m))] = np.frombuffer(cross)
+    return int(n), m, full + np.triu(full, 1).T
+
+
+def moments_of(n: int, mean: bytes, cross: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """The moments of a row of summed."""
+    held = unpacked(n, mean, cross)
+    return held if isinstance(held, tuple) else lasso.moments(held[:, :-1], held[:, -1])
+
+
 def summed(table: DataFrame, batch: list[dict]) -> DataFrame:
-    """k (the target's place in the batch), cluster, n, mean, cross of all cells. table: cell_table."""
+    """k (the target's place in the batch), cluster and n, mean, cross (see moments_of) of all cells. table: cell_table."""
     used = np.unique(np.concatenate([np.append(s["gene"], s["y"]) for s in batch]))
     parts = table.rdd.getNumPartitions()
     fan = max(1, math.ceil(math.sqrt(parts)))
     kind = "k int, cluster int, salt int, n long, mean binary, cross binary"
 
     def rows(sums: dict, salt: int) -> pd.DataFrame:
-        return pd.DataFrame([(k, c, salt, n, m.tobytes(), x.tobytes()) for (k, c), (n, m, x) in sums.items()], columns=["k", "cluster", "salt", "n", "mean", "cross"])
+        return pd.DataFrame([(k, c, salt, *packed(held)) for (k, c), held in sums.items()], columns=["k", "cluster", "salt", "n", "mean", "cross"])
 
     def part(frames):
         from pyspark import TaskContext
@@ -124,17 +163,14 @@ def summed(table: DataFrame, batch: list[dict]) -> DataFrame:
                         no = s["blocked"].get(int(c))
                         if no is not None and len(no):
                             xc[:, no] = 0.0
-                        got = lasso.moments(xc, y[here])
                         key = (k, int(c))
-                        sums[key] = lasso.merged(sums[key], got) if key in sums else got
+                        sums[key] = grown(sums.get(key), np.column_stack([xc, y[here]]))
         yield rows(sums, salt)
 
     def together(own: pd.DataFrame) -> pd.DataFrame:
         total = None
         for n, m, x in zip(own["n"], own["mean"], own["cross"]):
-            mean = np.frombuffer(m)
-            got = (int(n), mean, np.frombuffer(x).reshape(len(mean), -1))
-            total = got if total is None else lasso.merged(total, got)
+            total = joined(total, unpacked(n, m, x))
         return rows({(int(own["k"].iloc[0]), int(own["cluster"].iloc[0])): total}, 0)
 
     once = table.mapInPandas(part, kind)
@@ -150,8 +186,8 @@ def fitted(sums: DataFrame, batch: list[dict], **options) -> DataFrame:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                s, mean = batch[r.k], np.frombuffer(r.mean)
-                got = lasso.fit_moments(int(r.n), mean, np.frombuffer(r.cross).reshape(len(mean), -1), s["groups"], **options)
+                s = batch[r.k]
+                got = lasso.fit_moments(*moments_of(r.n, r.mean, r.cross), s["groups"], **options)
                 out.append((s["target"], r.cluster, r.n, got["intercept"], s["names"], got["coef"].tolist(), got["r2"], got["mse"], got["iterations"], got["converged"]))
             yield pd.DataFrame(out, columns=["target", "cluster", "n_cells", "intercept", "terms", "coef", "r2", "mse", "iterations", "converged"])
 

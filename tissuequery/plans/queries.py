@@ -582,7 +582,7 @@ def cross_products(spark, d):
     def run(frames):
         for frame in frames:
             for r in frame.itertuples(index=False):
-                m = np.frombuffer(r.cross).reshape(-1, len(r.mean) // 8)
+                m = training.moments_of(r.n, r.mean, r.cross)[2]
                 yield pd.DataFrame({"target": batch[r.k]["target"], "cluster": r.cluster, "term": batch[r.k]["names"], "n": r.n, "xx": np.diag(m)[:-1], "xy": m[:-1, -1]})
 
     return sums.mapInPandas(run, "target string, cluster long, term string, n long, xx double, xy double").select("target", "cluster", "term", "n", F.round("xx", 5).alias("xx"), F.round("xy", 5).alias("xy"))
