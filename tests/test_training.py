@@ -132,9 +132,12 @@ def test_empty_runs(spark, tmp_path):
 
 
 def test_batches_are_bounded(monkeypatch):
-    specs = {g: {"names": ["x"] * 9, "target": g} for g in "abcde"}
-    monkeypatch.setattr(training, "BATCH_BYTES", 2 * 3 * 800)
-    assert [[s["target"] for s in b] for b in training.batches(specs, 3)] == [["a", "b"], ["c", "d"], ["e"]]
+    def spec(y, genes):
+        return {"target": str(y), "y": y, "gene": np.array(genes), "ligand": np.full(len(genes), -1)}
+
+    specs = {str(y): spec(y, [y + 10, y + 11]) for y in range(5)}  # two targets have five distinct columns
+    monkeypatch.setattr(training, "BATCH_BYTES", 3 * 5**2 * 8)
+    assert [[s["target"] for s in b] for b in training.batches(specs, 3)] == [["0", "1"], ["2", "3"], ["4"]]
 
 
 def test_logs_of_the_format(spark, tmp_path):

@@ -1,8 +1,9 @@
 """Fits of many targets from cells, sparse expression and terms.
 
 A cell is one row: its cluster, its expressed genes as sparse arrays and its received ligands as an array. Each task
-makes the columns of a batch of targets from its cells, a few at a time, and keeps their cross products by target and
-cluster, or the rows themselves while they are the smaller of the two; these are merged in two steps. So neither designs nor dense matrices are shuffled, and what a task holds
+makes all distinct columns of a batch of targets from its cells, a few at a time, and keeps their cross products by
+cluster, or the rows themselves while they are the smaller of the two; these are merged in two steps. A fit takes its own
+columns out of its cluster's products. So neither designs nor dense matrices are shuffled, and what a task holds
 depends on the terms and clusters, not on the cells. Batches are cut so that it stays below BATCH_BYTES (a target alone
 may exceed it).
 """
@@ -73,16 +74,26 @@ def specs(terms: list, gene_index: dict[str, int], ligands: list[str], masks: di
     return out
 
 
+def columns(batch: list[dict]) -> list[tuple[int, int]]:
+    """(gene, ligand or -1) of all distinct columns of a batch, terms and targets."""
+    return sorted({(int(s["y"]), -1) for s in batch} | {(int(g), int(l)) for s in batch for g, l in zip(s["gene"], s["ligand"])})
+
+
+def places(spec: dict, at: dict) -> np.ndarray:
+    """Where a target's terms and, last, the target itself are among the columns."""
+    return np.array([at[int(g), int(l)] for g, l in zip(spec["gene"], spec["ligand"])] + [at[int(spec["y"]), -1]])
+
+
 def batches(specs_: dict[str, dict], clusters: int) -> list[list[dict]]:
     """The targets in order, in batches whose cross products fit."""
-    out, room = [], 0
+    out, used = [], set()
     for name in sorted(specs_):
-        size = clusters * (len(specs_[name]["names"]) + 1) ** 2 * 8
-        if not out or room + size > BATCH_BYTES:
+        own = set(columns([specs_[name]]))
+        if not out or clusters * len(used | own) ** 2 * 8 > BATCH_BYTES:
             out.append([])
-            room = 0
+            used = set()
         out[-1].append(specs_[name])
-        room += size
+        used |= own
     return out
 
 
@@ -126,14 +137,16 @@ def moments_of(n: int, mean: bytes, cross: bytes) -> tuple[int, np.ndarray, np.n
 
 
 def summed(table: DataFrame, batch: list[dict]) -> DataFrame:
-    """k (the target's place in the batch), cluster and n, mean, cross (see moments_of) of all cells. table: cell_table."""
-    used = np.unique(np.concatenate([np.append(s["gene"], s["y"]) for s in batch]))
-    parts = table.rdd.getNumPartitions()
-    fan = max(1, math.ceil(math.sqrt(parts)))
-    kind = "k int, cluster int, salt int, n long, mean binary, cross binary"
+    """cluster and n, mean, cross (see moments_of) of the batch's columns over all cells. table: cell_table."""
+    cols = np.array(columns(batch))
+    used = np.unique(cols[:, 0])
+    place, ligand = np.searchsorted(used, cols[:, 0]), cols[:, 1]
+    pair = ligand >= 0
+    fan = max(1, math.ceil(math.sqrt(table.rdd.getNumPartitions())))
+    kind = "cluster int, salt int, n long, mean binary, cross binary"
 
     def rows(sums: dict, salt: int) -> pd.DataFrame:
-        return pd.DataFrame([(k, c, salt, *packed(held)) for (k, c), held in sums.items()], columns=["k", "cluster", "salt", "n", "mean", "cross"])
+        return pd.DataFrame([(c, salt, *packed(held)) for c, held in sums.items()], columns=["cluster", "salt", "n", "mean", "cross"])
 
     def part(frames):
         from pyspark import TaskContext
@@ -147,51 +160,61 @@ def summed(table: DataFrame, batch: list[dict]) -> DataFrame:
                 e = np.zeros((len(own), len(used)))
                 for row, (gi, gv) in enumerate(zip(own["gi"], own["gv"])):
                     gi = np.asarray(gi, np.int64)
-                    place = np.minimum(np.searchsorted(used, gi), len(used) - 1)
-                    hit = used[place] == gi
-                    np.add.at(e[row], place[hit], np.asarray(gv, float)[hit])
-                rw = np.array(own["rw"].tolist(), float).reshape(len(own), -1)
+                    to = np.minimum(np.searchsorted(used, gi), len(used) - 1)
+                    hit = used[to] == gi
+                    np.add.at(e[row], to[hit], np.asarray(gv, float)[hit])
+                z = e[:, place]
+                if pair.any():
+                    z[:, pair] *= np.array(own["rw"].tolist(), float).reshape(len(own), -1)[:, ligand[pair]]
                 cluster = own["cluster"].to_numpy()
-                for k, s in enumerate(batch):
-                    x = e[:, np.searchsorted(used, s["gene"])]
-                    pair = s["ligand"] >= 0
-                    x[:, pair] *= rw[:, s["ligand"][pair]]
-                    y = e[:, np.searchsorted(used, s["y"])]
-                    for c in np.unique(cluster):
-                        here = cluster == c
-                        xc = x[here]
-                        no = s["blocked"].get(int(c))
-                        if no is not None and len(no):
-                            xc[:, no] = 0.0
-                        key = (k, int(c))
-                        sums[key] = grown(sums.get(key), np.column_stack([xc, y[here]]))
+                for c in np.unique(cluster):
+                    sums[int(c)] = grown(sums.get(int(c)), z[cluster == c])
         yield rows(sums, salt)
 
     def together(own: pd.DataFrame) -> pd.DataFrame:
         total = None
         for n, m, x in zip(own["n"], own["mean"], own["cross"]):
             total = joined(total, unpacked(n, m, x))
-        return rows({(int(own["k"].iloc[0]), int(own["cluster"].iloc[0])): total}, 0)
+        return rows({int(own["cluster"].iloc[0]): total}, 0)
 
     once = table.mapInPandas(part, kind)
     if fan > 1:
-        once = once.groupBy("k", "cluster", "salt").applyInPandas(together, kind)
-    return once.groupBy("k", "cluster").applyInPandas(together, kind).drop("salt")
+        once = once.groupBy("cluster", "salt").applyInPandas(together, kind)
+    return once.groupBy("cluster").applyInPandas(together, kind).drop("salt")
 
 
-def fitted(sums: DataFrame, batch: list[dict], **options) -> DataFrame:
-    """A fit for each row of summed."""
+def each(sums: DataFrame, batch: list[dict], run, schema: str) -> DataFrame:
+    """The frames that run(spec, cluster, n, mean, cross) gives for each target and cluster, factors that are not allowed
+    there set to 0. Clusters are dealt once more where there are fewer of them than tasks at a time."""
+    at = {c: k for k, c in enumerate(columns(batch))}
+    own = [places(s, at) for s in batch]
+    context = sums.sparkSession.sparkContext
+    split = max(1, min(len(batch), context.defaultParallelism // 8))
 
-    def run(frames):
+    def go(frames):
         for frame in frames:
-            out = []
             for r in frame.itertuples(index=False):
-                s = batch[r.k]
-                got = lasso.fit_moments(*moments_of(r.n, r.mean, r.cross), s["groups"], **options)
-                out.append((s["target"], r.cluster, r.n, got["intercept"], s["names"], got["coef"].tolist(), got["r2"], got["mse"], got["iterations"], got["converged"]))
-            yield pd.DataFrame(out, columns=["target", "cluster", "n_cells", "intercept", "terms", "coef", "r2", "mse", "iterations", "converged"])
+                n, mean, cross = moments_of(r.n, r.mean, r.cross)
+                for k in range(r.turn, len(batch), split):
+                    m, x = mean[own[k]], cross[np.ix_(own[k], own[k])]
+                    no = batch[k]["blocked"].get(int(r.cluster))
+                    if no is not None and len(no):
+                        m[no], x[no, :], x[:, no] = 0.0, 0.0, 0.0
+                    yield run(batch[k], int(r.cluster), n, m, x)
+
+    turns = sums.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+    return (turns.repartition("cluster", "turn") if split > 1 else turns).mapInPandas(go, schema)
+
+
+def fitted(sums: DataFrame, batch: list[dict], **options) -> DataFrame:
+    """A fit for each target of the batch and row of summed."""
+
+    def run(s, cluster, n, mean, cross):
+        got = lasso.fit_moments(n, mean, cross, s["groups"], **options)
+        row = (s["target"], cluster, n, got["intercept"], s["names"], got["coef"].tolist(), got["r2"], got["mse"], got["iterations"], got["converged"])
+        return pd.DataFrame([row], columns=["target", "cluster", "n_cells", "intercept", "terms", "coef", "r2", "mse", "iterations", "converged"])
 
-    return sums.mapInPandas(run, FITS)
+    return each(sums, batch, run, FITS)
 
 
 def coefficients(fits: DataFrame) -> DataFrame:

@@ -579,13 +579,11 @@ def cross_products(spark, d):
     batch = [s for _, s in sorted(training.specs(terms.collect(), index, LIGANDS).items())]
     sums = training.summed(training.cell_table(cells, A.expression(spark, d), A.genes(spark), LIGANDS, RADIUS), batch)
 
-    def run(frames):
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                m = training.moments_of(r.n, r.mean, r.cross)[2]
-                yield pd.DataFrame({"target": batch[r.k]["target"], "cluster": r.cluster, "term": batch[r.k]["names"], "n": r.n, "xx": np.diag(m)[:-1], "xy": m[:-1, -1]})
+    def run(s, cluster, n, mean, cross):
+        return pd.DataFrame({"target": s["target"], "cluster": cluster, "term": s["names"], "n": n, "xx": np.diag(cross)[:-1], "xy": cross[:-1, -1]})
 
-    return sums.mapInPandas(run, "target string, cluster long, term string, n long, xx double, xy double").select("target", "cluster", "term", "n", F.round("xx", 5).alias("xx"), F.round("xy", 5).alias("xy"))
+    long = training.each(sums, batch, run, "target string, cluster long, term string, n long, xx double, xy double")
+    return long.select("target", "cluster", "term", "n", F.round("xx", 5).alias("xx"), F.round("xy", 5).alias("xy"))
 
 
 def _run(spark, d, **more):
