@@ -9,13 +9,21 @@ neighbour in a point's own box bounds how far it must look, and then it meets th
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 64
+#: Bytes of links, and of values of a group of genes, up to which a task holds them whole in a permutation test; links of a step.
+HELD_BYTES, LINKS = 32 << 20, 65_536
 
 
 def finite(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -106,11 +114,95 @@ def morans_i(residuals: DataFrame, edges: DataFrame) -> DataFrame:
     return base.join(sums, "gene", "left").select("gene", value.alias("moran_i"))
 
 
+def _hashes(perm: int, cells: np.ndarray) -> np.ndarray:
+    """F.xxhash64 of a permutation (int) and cells (long)."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, by):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(33))) * two
+        x = (x ^ (x >> np.uint64(29))) * three
+        return x ^ (x >> np.uint64(32))
+
+    first = np.array([42], np.uint64) + five + np.uint64(4)
+    seed = mixed(turned(first ^ (np.array([perm], np.uint64) * one), 23) * two + three)
+    x = (seed + five + np.uint64(8)) ^ (turned(cells.astype("<i8").view(np.uint64) * two, 31) * one)
+    return mixed(turned(x, 27) * one + four).view(np.int64)
+
+
+def _permuted_whole(residuals: DataFrame, edges: DataFrame, cells: DataFrame, genes: list[str], many: int, n: int) -> DataFrame | None:
+    """moran_permutations() where a task can hold all links and the values of some genes: a deal is a task's own sort and
+    the links are sums in place, so neither is moved. None where they are too many."""
+    if n < 2 or 8 * n > HELD_BYTES or residuals.schema["cell_idx"].dataType.simpleString() != "bigint":
+        return None
+    spark = residuals.sparkSession
+    links = cut(edges.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.count("*").alias("w")))
+    if 10 * links.count() > HELD_BYTES:
+        return None
+    ids = np.sort(cells.select("cell_idx").toArrow()["cell_idx"].to_numpy())
+    got = links.toArrow()
+    ends = [got[c].to_numpy() for c in ("a", "b", "w")]
+    a, b = (np.searchsorted(ids, x) for x in ends[:2])
+    known = (a < n) & (b < n)
+    known &= (ids[np.minimum(a, n - 1)] == ends[0]) & (ids[np.minimum(b, n - 1)] == ends[1])
+    order = np.lexsort((b[known], a[known]))
+    a, b, w = a[known][order].astype(np.int32), b[known][order].astype(np.int32), ends[2][known][order].astype(np.float64)
+    s0 = float(w.sum())
+    held = spark.sparkContext.broadcast((ids, a, b, w.astype(np.float32) if w.size and w.max() < 1 << 24 else w))
+    tasks = max(1, min(many + 1, 4 * spark.sparkContext.defaultParallelism))
+    deals = spark.range(0, many + 1, 1, tasks).select(F.col("id").alias("perm"))
+    rows, step = [], max(1, min(BLOCK, HELD_BYTES // (8 * n)))
+    for k in range(0, len(genes), BLOCK):
+        own = genes[k : k + BLOCK]
+        names = [f"z{g}" for g in range(len(own))]
+        wide = residuals.where(F.col("gene").isin(own)).groupBy("cell_idx").agg(*(F.sum(F.when(F.col("gene") == g, F.col("e"))).alias(z) for g, z in zip(own, names)))
+        wide = cut(wide)
+        for start in range(0, len(own), step):
+            some, cols = own[start : start + step], names[start : start + step]
+            table = wide.select("cell_idx", *cols).toArrow()
+            at = np.searchsorted(ids, table["cell_idx"].to_numpy())
+            z, there = np.zeros((n, len(some))), []
+            for c, name in enumerate(cols):
+                x = table[name].to_numpy().astype(np.float64)
+                there.append(table[name].null_count < len(x))
+                has = ~np.isnan(x) if table[name].null_count else np.ones(len(x), bool)
+                z[at[has], c] = x[has] - x[has].mean() if has.any() else 0.0
+            del table
+            squares, values = (z * z).sum(0), spark.sparkContext.broadcast(z)
+            del z
+
+            def run(batches, values=values):
+                ids, a, b, w = held.value
+                z = values.value
+                for batch in batches:
+                    for perm in batch.column("perm").to_pylist():
+                        dealt = z if perm == 0 else z[np.argsort(_hashes(perm, ids), kind="stable")]
+                        sums = np.zeros(z.shape[1])
+                        for m in range(0, len(a), LINKS):
+                            part = slice(m, m + LINKS)
+                            sums += np.einsum("ij,ij,i->j", dealt[a[part]], dealt[b[part]], w[part].astype(np.float64))
+                        yield pa.RecordBatch.from_arrays([pa.array([perm]), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["perm", "sums"])
+
+            sums = {r["perm"]: np.array(r["sums"]) for r in deals.mapInArrow(run, "perm long, sums array<double>").collect()}  # a row a deal
+            values.destroy()
+            for c, g in enumerate(some):
+                if there[c]:
+                    i = np.array([n / s0 * sums[p][c] / squares[c] if s0 and squares[c] > 0 else 0.0 for p in range(many + 1)])
+                    hits = int((np.abs(i[1:]) >= abs(i[0]) - 1e-15).sum())
+                    rows.append((g, float(i[0]), (1 + hits) / (1 + many) if s0 else 1.0))
+    return spark.createDataFrame(rows, "gene string, moran_i double, p double")
+
+
 def moran_permutations(residuals: DataFrame, edges: DataFrame, genes: list[str], many: int) -> DataFrame:
     """gene, moran_i, p: residuals are dealt anew to the cells `many` times, by hashes of (permutation, cell), and
-    p = (1 + as extreme deals) / (1 + many). All genes share the deals, so the links are moved once a deal and carry the
-    genes side by side, in blocks of BLOCK. residuals: gene, cell_idx, e, every gene over all cells."""
+    p = (1 + as extreme deals) / (1 + many). Links that fit HELD_BYTES go to the tasks whole (_permuted_whole). Beyond, all
+    genes share the deals, so the links are moved once a deal and carry the genes side by side, in blocks of BLOCK. residuals: gene, cell_idx, e, every gene over all cells."""
     edges, cells = cut(edges.select("i", "j")), cut(residuals.select("cell_idx").distinct())
+    whole = _permuted_whole(residuals, edges, cells, genes, many, cells.count())
+    if whole is not None:
+        return whole
     perms = cells.select("cell_idx", F.explode(F.sequence(F.lit(1), F.lit(many))).alias("perm"))
     place = Window.partitionBy("perm").orderBy("cell_idx")
     dealt = Window.partitionBy("perm").orderBy(F.xxhash64("perm", "cell_idx"), "cell_idx")
