@@ -241,6 +241,41 @@ def test_language_model_edges(edge, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_training_steps_by_hand():
+    """A class's vector and bias are one array, moved at once; against plain gradients, one row at a time."""
+    m, k = language_model, 40
+    rng = np.random.default_rng(1)
+    q = rng.uniform(1, 9, k)
+    q /= q.sum()
+    weights = {"one": rng.normal(0, 0.3, (k + 1, m.DIMS)), "two": rng.normal(0, 0.3, (k + 1, m.DIMS)), "out": rng.normal(0, 0.1, (k, m.DIMS)), "bias": np.log(q)[:, None]}
+    weights = {n: x.astype(np.float32) for n, x in (weights | {f"{n}_sum": np.full(x.shape, 1e-2) for n, x in weights.items()}).items()}
+    rows = rng.integers(0, k, (1300, 3)).astype(np.int32)
+    trainer = m.Trainer(weights, q, [3, 0])
+    trainer.run(rows)
+    assert np.shares_memory(trainer.w["both"], trainer.w["out"]) and np.shares_memory(trainer.w["both"], trainer.w["bias"])
+    w, past = ({n: weights[n + end].astype(float) for n in m.NAMES} for end in ("", "_sum"))
+    draw = np.random.default_rng([3, 0])
+    order = draw.permutation(len(rows))
+    for start in range(0, len(rows), m.BATCH):
+        batch = rows[order[start : start + m.BATCH]]
+        noise = np.searchsorted(np.cumsum(q), draw.random(m.NOISE) * np.cumsum(q)[-1])
+        g = {n: np.zeros(x.shape) for n, x in w.items()}
+        for two, one, target in batch:
+            h = w["one"][one] + w["two"][two]
+            for c, label in [(target, 1.0), *((c, 0.0) for c in noise)]:
+                off = 1 / (1 + np.exp(-(h @ w["out"][c] + w["bias"][c, 0] - np.log(q[c]) - np.log(m.NOISE)))) - label
+                g["one"][one] += off * w["out"][c]
+                g["two"][two] += off * w["out"][c]
+                g["out"][c] += off * h
+                g["bias"][c, 0] += off
+        for n in w:
+            x = g[n] * 32 / len(batch)
+            past[n] += x * x
+            w[n] -= m.RATE * x / np.sqrt(past[n])
+    for n in w:
+        assert np.abs(trainer.w[n] - w[n]).max() < 1e-3 and np.abs(trainer.sum[n] - past[n]).max() < 1e-3 * past[n].max()
+
+
 # 4
 
 

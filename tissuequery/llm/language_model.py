@@ -49,6 +49,8 @@ DICTIONARY, WORD_BYTES = 150_000, 64
 OWN_CLASS, ENDINGS, ENDING_BYTES = 4096, 512, 3
 DIMS, NOISE, BATCH, RATE = 32, 96, 512, 0.1
 SLICE_TOKENS, ROUNDS = 2_000_000, 4
+#: Steps whose noise is drawn at once.
+STEPS = 1024
 NAMES = ("one", "two", "out", "bias")
 END = b""  # no word is empty
 
@@ -151,11 +153,12 @@ def start_weights(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place, by the hyperbolic tangent, which doesn't overflow."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
+    """In place; exp of 80 is no overflow yet."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(80), out=x)
+    np.exp(x, out=x)
     x += np.float32(1)
-    x *= np.float32(0.5)
+    np.reciprocal(x, out=x)
     return x
 
 
@@ -165,6 +168,9 @@ class Trainer:
     def __init__(self, weights: dict, q: np.ndarray, seed):
         self.w = {k: weights[k].copy() for k in NAMES}
         self.sum = {k: weights[f"{k}_sum"].copy() for k in NAMES}
+        for part in (self.w, self.sum):  # a class's vector and bias move together: one array, of which both are views
+            part["both"] = np.concatenate([part["out"], part["bias"]], axis=1)
+            part["out"], part["bias"] = part["both"][:, :DIMS], part["both"][:, DIMS:]
         self.seen = {k: np.zeros(len(weights[k])) for k in NAMES}
         self.bound = np.uint16 if len(weights["one"]) < 1 << 16 else np.int64  # short keys are sorted by radix
         self.edges, self.logq = np.cumsum(q), (np.log(q) + np.log(NOISE)).astype(np.float32)
@@ -173,38 +179,48 @@ class Trainer:
     def run(self, rows: np.ndarray) -> None:
         for name, at in zip(NAMES, (1, 0, 2, 2)):
             self.seen[name] += np.bincount(rows[:, at], minlength=len(self.seen[name]))
-        order = self.rng.permutation(len(rows))
-        for start in range(0, len(rows), BATCH):
-            self.step(*rows[order[start : start + BATCH]].T)
-
-    def _move(self, at: np.ndarray, moved: list[tuple[str, np.ndarray]], size: float) -> None:
+        rows = np.ascontiguousarray(rows.take(self.rng.permutation(len(rows)), axis=0).T)
+        for block in range(0, rows.shape[1], BATCH * STEPS):
+            part = rows[:, block : block + BATCH * STEPS]
+            starts = range(0, part.shape[1], BATCH)
+            noise = np.searchsorted(self.edges, self.rng.random((len(starts), NOISE)) * self.edges[-1])
+            for start, own in zip(starts, noise):
+                self.step(*part[:, start : start + BATCH], own)
+
+    def _move(self, name: str, at: np.ndarray, gradient: np.ndarray, size: float) -> None:
         order = at.astype(self.bound).argsort(kind="stable")
         sorted_ = at[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
         rows = sorted_[starts]
-        for name, gradient in moved:
-            g = np.add.reduceat(gradient[order], starts, axis=0)
-            g *= np.float32(1 / size)
-            past = self.sum[name][rows] + g * g
-            self.sum[name][rows] = past
-            g *= np.float32(RATE)
-            g /= np.sqrt(past)
-            self.w[name][rows] -= g
-
-    def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        g = np.add.reduceat(gradient.take(order, axis=0), starts, axis=0)
+        g *= np.float32(1 / size)
+        past = g * g
+        past += self.sum[name].take(rows, axis=0)
+        self.sum[name][rows] = past
+        g *= np.float32(RATE)
+        g /= np.sqrt(past, out=past)
+        self.w[name][rows] = np.subtract(self.w[name].take(rows, axis=0), g, out=g)
+
+    def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
         w, n = self.w, len(target)
-        hidden = w["one"][one] + w["two"][two]
-        noise = np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1])
-        own, others, bias = w["out"][target], w["out"][noise], w["bias"][:, 0]
-        true = _sigmoid(np.einsum("ij,ij->i", hidden, own) + bias[target] - self.logq[target]) - 1
-        false = _sigmoid(hidden @ others.T + bias[noise] - self.logq[noise])
-        to_hidden = true[:, None] * own + false @ others
-        both, size = np.concatenate([target, noise]), n / 32
-        to_out = np.concatenate([true[:, None] * hidden, false.T @ hidden])
-        to_bias = np.concatenate([true, false.sum(0)])[:, None]
-        self._move(one, [("one", to_hidden)], size)
-        self._move(two, [("two", to_hidden)], size)
-        self._move(both, [("out", to_out), ("bias", to_bias)], size)
+        hidden = np.ones((n, DIMS + 1), np.float32)  # the last is multiplied by the bias
+        hidden[:, :DIMS] = w["one"].take(one, axis=0)
+        hidden[:, :DIMS] += w["two"].take(two, axis=0)
+        at = np.concatenate([target, noise])
+        both = w["both"].take(at, axis=0)
+        own, others = both[:n], both[n:]
+        true = _sigmoid(np.einsum("ij,ij->i", hidden, own) - self.logq[target]) - 1
+        false = hidden @ others.T
+        false -= self.logq[noise]
+        _sigmoid(false)
+        to_hidden = false @ others[:, :DIMS]
+        to_hidden += true[:, None] * own[:, :DIMS]
+        np.multiply(hidden, true[:, None], out=own)
+        np.matmul(false.T, hidden, out=others)
+        size = n / 32
+        self._move("one", one, to_hidden, size)
+        self._move("two", two, to_hidden, size)
+        self._move("both", at, both, size)
 
 
 def triples(classes: list[np.ndarray], k: int) -> np.ndarray:
